@@ -174,7 +174,7 @@ def read_records(spark: SparkSession, path: str, size: int = BLOCK, with_payload
         for batch in batches:
             for row in batch.to_pylist():
                 file, at, end = row["file"], row["enter"], min(row["start"] + size, row["length"])
-                base, raw = at, read_range(file, at, end - at)
+                base, raw = at, read_range(file, at, end - at + len(VERSION))
                 out = []
                 while at < end and (found := _header_at(file, raw, base, at)) and MAGIC.match(raw, at - base):
                     head, content = found
