@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import text_bytes
+from notewright.llm.common import materialize, text_bytes
 
 SEED = 20240917
 #: A larger mean is the sum of draws of at most this mean, so that exp(-mean) stays a normal number.
 PART = 64.0
+#: A row holds at most some 200 numbers, so the table of this many sources is below 32 MB. More sources are joined by a shuffle.
+SOURCES_TO_BROADCAST = 20_000
 
 
 def _hash(*parts: Column) -> Column:
@@ -62,9 +64,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     gives an empty result. The result is ordered by __key, then doc_id and __copy.
     """
     table = rates(docs, weights, size).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    joined = docs.join(table, docs["source"].eqNullSafe(F.col("__s")), "left")
-    mark = F.md5(F.coalesce("text", F.lit("\\N")))
-    counted = joined.withColumn("__mark", mark)
+    table = materialize(table, "mixing-rates")
+    if table.count() <= SOURCES_TO_BROADCAST:
+        table = F.broadcast(table)
+    marked = docs.withColumn("__mark", F.md5(F.coalesce("text", F.lit("\\N"))))  # before the join, so that a text nobody wants stays behind
+    counted = marked.join(table, marked["source"].eqNullSafe(F.col("__s")), "left")
     unit = F.lit(float(1 << 52))
     draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= _hash(F.lit(seed), F.col("doc_id"), F.col("__mark"), j) / unit))
     one = F.transform(F.array(_hash(F.lit(seed), F.col("doc_id"), F.col("__mark"), F.lit(1)) / unit), lambda u: F.size(F.filter("__cdf", lambda c: c <= u)))[0]
