@@ -2,56 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+from notewright.storage import drop_scratch, materialize, scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one when it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended before the driver
-        if path.startswith("file:"):
-            import shutil
-
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    _remove(spark, path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    This cuts the lineage (a lost executor costs a file read, not a recomputation) and fixes
-    values that depend on the task that made them, such as monotonically increasing ids.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["document_key", "drop_scratch", "lower_ascii", "materialize", "read_range", "scratch", "shared_dir", "text_bytes", "tokenizer_dir"]
 
 
 def text_bytes(text: Column) -> Column:
