@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import decontam, htmltext, linededup, mixing, pii, quality, sharding, warc
+from notewright.llm import decontam, htmltext, linededup, mixing, neardup, pii, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.report(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_html_extraction": op7_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
