@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import decontam, mixing, sharding
+from notewright.llm import decontam, mixing, neardup, quality, sharding
 from notewright.llm.common import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the word and line rules or a band of tokeniser fertility go."""
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the least doc_id."""
+    return neardup.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of two benchmark items go; hit words of one item go from the text."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,7 +37,15 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=40)
 
 
-STAGES: list[tuple[str, Stage]] = [("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_good),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: No SQL expresses the tokenisers of the first stage or the sampling of the second; tests/llm hold both against brute force.
 
 ORACLE_SQL: str | None = None
 
@@ -38,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

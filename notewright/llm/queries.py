@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import decontam, htmltext, linededup, mixing, neardup, pii, quality, sharding, warc
+from notewright.llm import decontam, htmltext, linededup, mixing, neardup, pii, quality, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.report(table(spark, sf_dir, "pages"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_html_extraction": op7_html_extraction,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
