@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: built-in expressions wherever Spark has them, Arrow UDFs where it has not."""
