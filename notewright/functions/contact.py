@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewright.functions.names import strip_latin_accents
 
@@ -108,7 +109,7 @@ def address_value(raw: str | None) -> dict[str, str]:
     return {"street": street if street[:1].isdigit() else "", "city": city, "state": state, "zip": code}
 
 
-@F.pandas_udf("street string, city string, state string, zip string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("street", "city", "state", "zip")]))
 def address_parts(value: pd.Series) -> pd.DataFrame:
     """B11 as an Arrow UDF."""
     return pd.DataFrame([address_value(v) for v in value], columns=["street", "city", "state", "zip"])

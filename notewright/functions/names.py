@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tokens that are not part of a name, and suffixes that are.
 TITLES = ("dr", "mr", "mrs", "ms", "miss", "atty", "esq", "prof")
@@ -53,7 +54,7 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """B1: compatibility decomposition without combining marks; null stays null."""
     return text.map(lambda t: None if t is None else t if t.isascii() else _plain(t))
@@ -126,7 +127,7 @@ def jaro_winkler_value(a: str, b: str, mode: str = "plain") -> float:
 def jaro_winkler(mode: str = "plain"):
     """B4 as an Arrow UDF of two strings; null if either is."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else jaro_winkler_value(x, y, mode) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -147,7 +148,7 @@ def token_set_value(a: list[str], b: list[str]) -> float:
     return total / len(large)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

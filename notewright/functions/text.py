@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Relation predicates and the form they are folded to.
 RELATION_FORMS = {
@@ -196,7 +197,7 @@ def grounded_value(text: str | None, start: int, end: int, value: str | None, le
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def span_grounded(text: pd.Series, start: pd.Series, end: pd.Series, value: pd.Series) -> pd.Series:
     """B25 as an Arrow UDF."""
     return pd.Series([grounded_value(t, int(s), int(e), v) for t, s, e, v in zip(text, start, end, value, strict=True)])
@@ -245,9 +246,11 @@ def template_fingerprint(text: Column, kind: Column | None = None) -> Column:
 def note_category(text: Column) -> Column:
     """The category with most keyword hits, the first of equals; general_correspondence without any."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    counts = [(c, sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0))) for c, words in CATEGORY_WORDS]
-    best = F.greatest(*[n for _, n in counts])
-    return F.when(best == 0, "general_correspondence").otherwise(first_of([(n == best, F.lit(c)) for c, n in counts], F.lit(None).cast("string")))
+    counts = F.array(*[sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0)) for _, words in CATEGORY_WORDS])
+    names = F.array(*[F.lit(c) for c, _ in CATEGORY_WORDS])
+    # the counts are bound once, as the only element of an array
+    pick = lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int")))
+    return F.coalesce(F.transform(F.array(counts), pick)[0], F.lit("general_correspondence"))
 
 
 def weight_to_probability(weight: Column) -> Column:
@@ -314,7 +317,7 @@ def relocate(text: str | None, quote: str | None) -> tuple[int, int, str] | None
     return None
 
 
-@F.pandas_udf("start int, end int, how string")
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("how", T.StringType())]))
 def relocate_evidence(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """B31 as an Arrow UDF; nulls where the quote isn't found."""
     found = [relocate(t, q) or (None, None, None) for t, q in zip(text, quote, strict=True)]
@@ -340,7 +343,7 @@ def locate_value(text: str | None, surface: str | None, hint: int) -> int:
     return min(found, key=lambda i: (abs(i - hint), i)) if found else -1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def locate(text: pd.Series, surface: pd.Series, hint: pd.Series) -> pd.Series:
     """B32 as an Arrow UDF."""
     return pd.Series([locate_value(t, s, int(h)) for t, s, h in zip(text, surface, hint, strict=True)], dtype="int32")
