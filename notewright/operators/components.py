@@ -18,14 +18,15 @@ from notewright.storage import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a vertex is tied to the least of the vertex and its neighbours."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written first, so that the join below deals both sides anew and Spark can split a vertex of very many edges.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex and its smaller neighbours are tied to the least of them; edges point from larger to smaller."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     return down.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
 
 
