@@ -309,7 +309,9 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
     chunks = sized.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK)), F.ceil(F.sum("bytes") / F.lit(CHUNK_BYTES))).alias("chunks"))
     dealt = sized.join(chunks, "class").select("class", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node", F.col("own.__d1").alias("__d1"), F.col("own.__d2").alias("__d2"))
     dealt = materialize(dealt, "neardup-dealt")
-    found = own.select(*document_key(), "text").join(dealt, ["__d1", "__d2"]).select("class", "chunks", "chunk", "node", "text")
+    # A merge join whatever the sizes: few candidates would be broadcast, many not, and what runs on
+    # a sample would not be what runs on a corpus.
+    found = own.select(*document_key(), "text").join(dealt.hint("merge"), ["__d1", "__d2"]).select("class", "chunks", "chunk", "node", "text")
     texts = materialize(found, "neardup-texts")
     if texts.count() > dealt.count():  # rows that repeat whole: one of each is enough
         texts = materialize(texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("class", "chunks", "chunk", "text")]).select("class", "chunks", "chunk", "node", "text"), "neardup-texts")
