@@ -177,6 +177,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = own.select(*document_key(), "text").join(wanted, ["__d1", "__d2"]).select("node", "rank", "matched", "text")
     found = materialize(_windows_around(texts), "suffix-windows")
     common = found.groupBy("wh").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min("rank").alias("first")).where("x <> y").select("wh", "first")
+    common = materialize(common, "suffix-common")  # the join deals its sides anew, so that Spark can split a very common passage
     covered = _spans(found.join(common, "wh").select("node", "rank", "start", "a", "b", "first"))
     table = materialize(nodes.select("node", "top", "copied").join(covered, "node", "left"), "suffix-covered")
     joined = rows.select("doc_id", "__d1", "__d2", "node", "n_words", "first", "last").join(table, "node", "left")
