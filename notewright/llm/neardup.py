@@ -323,6 +323,7 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
     joined = connected_components(linked).toDF("node", "component")
     named = nodes.join(joined, "node", "left").select("node", "least", "own", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "own")).alias("first"))
+    firsts = materialize(firsts, "neardup-firsts")  # the join deals its sides anew, so that Spark can split a very large class
     table = materialize(named.join(firsts, "component").select("node", F.col("first.least").alias("class_id"), F.col("first.own").alias("kept")), "neardup-named")
     out = rows.select("doc_id", "__d1", "__d2", "node").join(table, "node", "left")
     return out.select(
