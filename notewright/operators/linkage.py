@@ -194,13 +194,17 @@ class Model:
             raise UncalibratedModel(f"trained for {sorted(self.m)} with {len(self.rules)} rules, used for {sorted(comparisons)} with {len(rules)}")
 
 
+def rising(levels: int) -> list[float]:
+    """A distribution over levels from 0 up, each twice as likely as the one below: where EM starts."""
+    return [2.0**i / (2.0**levels - 1) for i in range(levels)]
+
+
 def default_model(comparisons: list[str]) -> Model:
     """Parameters that depend on the levels' number alone, for tests and for data too small to train on."""
     m, u = {}, {}
     for c in comparisons:
         n = LEVELS[c] + 1
-        up = [2.0**i for i in range(n)]
-        m[c] = [x / sum(up) for x in up]
+        m[c] = rising(n)
         down = [4.0**-i for i in range(n)]
         u[c] = [x / sum(down) for x in down]
     return Model(0.01, m, u, {c: [True] * (LEVELS[c] + 1) for c in comparisons})
@@ -285,7 +289,7 @@ def patterns(levels: DataFrame) -> list[tuple[dict[str, int], int]]:
 def expectation_maximisation(counts: list[tuple[dict[str, int], int]], u: dict[str, list[float]], prior: float, fixed: frozenset[str] = frozenset(), rounds: int = 25) -> tuple[dict[str, list[float]], dict[str, list[bool]]]:
     """H7: m of each comparison from counted patterns, u held; comparisons in fixed were blocked on and stay out. Also which levels were seen."""
     names_ = [c for c in u if c not in fixed]
-    m = {c: default_model([c]).m[c] for c in names_}
+    m = {c: rising(len(u[c])) for c in names_}
     seen = {c: [any(p[c] == i for p, _ in counts) for i in range(len(u[c]))] for c in names_}
     lam = max(prior, 1e-6)
     for _ in range(rounds):
