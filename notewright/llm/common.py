@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.storage import drop_scratch, materialize, scratch, shared_dir
 
-__all__ = ["document_key", "drop_scratch", "lower_ascii", "materialize", "read_range", "scratch", "shared_dir", "text_bytes", "tokenizer_dir"]
+__all__ = ["bound_batches", "document_key", "drop_scratch", "lower_ascii", "materialize", "read_range", "scratch", "shared_dir", "text_bytes", "tokenizer_dir"]
+
+
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own 64 MB, twice in the JVM and twice in Python, is too much for texts.
+BATCH = "4m"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by BATCH, unless the session has set a bound of its own."""
+    conf = df.sparkSession.conf
+    if BATCH_KEY not in conf.getAll:
+        conf.set(BATCH_KEY, BATCH)
+    return df
 
 
 def text_bytes(text: Column) -> Column:

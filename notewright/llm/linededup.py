@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import document_key, materialize
+from notewright.llm.common import bound_batches, document_key, materialize
 from notewright.llm.textvec import slices
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -57,7 +57,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
             columns = [d1, d2, np.array(places, np.int64), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["__d1", "__d2", "pos", "h1", "h2"])
 
-    return docs.select(*document_key(), "text").mapInArrow(run, LINES)
+    return bound_batches(docs.select(*document_key(), "text")).mapInArrow(run, LINES)
 
 
 def _runs(min_docs: int):

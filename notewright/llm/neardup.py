@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import document_key, materialize
+from notewright.llm.common import bound_batches, document_key, materialize
 from notewright.llm.textvec import inside, mix, slices, utf8, windows, words
 from notewright.operators.components import connected_components
 
@@ -301,7 +301,7 @@ def compare(texts: DataFrame, keys: list[str], idf: np.ndarray, limit: float) ->
 
 def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
     """doc_id, __d1, __d2, class_id, best boolean: one row per document; best marks the document (by key) that its class keeps."""
-    own = docs.select("doc_id", "text")
+    own = bound_batches(docs.select("doc_id", "text"))
     frequencies, n = document_frequencies(own)
     idf = weights_of(frequencies, n)
     rows = materialize(signatures(own, idf), "neardup-signatures")

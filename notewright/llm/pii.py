@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notewright.llm.common import bound_batches
 from notewright.llm.textvec import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -207,7 +208,7 @@ def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(base), pa.array(all_)], [*(f"__k{i}" for i in range(len(keep))), "__base", "__spans"])
 
     kinds = [f"__k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    found = given.mapInArrow(run, ", ".join([*kinds, "__base string", "__spans string"]))
+    found = bound_batches(given).mapInArrow(run, ", ".join([*kinds, "__base string", "__spans string"]))
     return found.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "__base", "__spans")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import tokenizer_dir
+from notewright.llm.common import bound_batches, tokenizer_dir
 from notewright.llm.textvec import NOT_SPACE, inside, mix, slices, utf8, windows, words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -233,7 +233,7 @@ def measure(docs: DataFrame, keep: list[str] | None = None, bands: dict[str, Ban
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), *out], [*(f"__k{i}" for i in range(len(keep))), *(f"__q_{n}" for n in names)])
 
     kinds = [f"__k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"__q_{x}" for x in COLUMNS.split(", ")]
-    found = given.mapInArrow(run, ", ".join(kinds))
+    found = bound_batches(given).mapInArrow(run, ", ".join(kinds))
     return found.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *[f"__q_{n}" for n in names])
 
 

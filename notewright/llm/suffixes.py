@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import document_key, materialize
+from notewright.llm.common import bound_batches, document_key, materialize
 from notewright.llm.textvec import code_points, slices, utf8, windows, words
 
 LEAST, PREFIX = 50, 25
@@ -163,7 +163,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     those that a document of a lesser doc_id holds; spans: where they stand, as start:end in code
     points, joined by commas; first_docs: the least doc_id of each, sorted.
     """
-    own = docs.select("doc_id", "text")
+    own = bound_batches(docs.select("doc_id", "text"))
     rows = materialize(suffix_starts(own), "suffix-rows")
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     key = F.struct("__d1", "__d2")
