@@ -368,3 +368,9 @@ def materialise(components: DataFrame, mentions: DataFrame) -> DataFrame:
     name = majority(own, "component", "surface", "position").withColumnRenamed("surface", "canonical_name")
     kind = majority(own, "component", "entity_class", "position")
     return ids.join(name, "component").join(kind, "component").select("entity_id", "canonical_name", "entity_class", "n_mentions")
+
+
+def calibration_report(spark, model: Model) -> DataFrame:
+    """Comparison, level, m, u, bits, estimated: what each level of each comparison is worth, a row a level."""
+    rows = [(c, i, model.m[c][i], model.u[c][i], model.bits(c, i), bool(model.estimated.get(c, [])[i : i + 1] == [True])) for c in sorted(model.m) for i in range(len(model.m[c]))]
+    return spark.createDataFrame(rows, "comparison string, level int, m double, u double, bits double, estimated boolean")

@@ -166,3 +166,44 @@ def scope_proof(chunks: DataFrame, claim_a: Column, claim_b: Column, probe: Colu
     """How many chunks that the probe finds belong to each claim, and how many a search scoped to the first can see of the second."""
     own = chunks.where(probe)
     return own.agg(F.count_if(F.col("claim_id") == claim_a).alias("in_a"), F.count_if(F.col("claim_id") == claim_b).alias("in_b"), F.count_if((F.col("claim_id") == claim_a) & (F.col("claim_id") == claim_b)).alias("leaked"))
+
+
+def chunk_index(chunks: DataFrame, docs: DataFrame, embed: object = None) -> DataFrame:
+    """Chunks with their claim (UNKNOWN without one) and a vector. embed: rows and a text column to rows with vector."""
+    from notewright.operators.vectors import embed as hashed
+
+    claims = docs.select("doc_id", "claim_id")
+    placed = chunks.join(claims, "doc_id", "left").withColumn("claim_id", F.coalesce("claim_id", F.lit("UNKNOWN")))
+    return (embed or hashed)(placed, "text")
+
+
+def answer(question_vector: list[float], claim_id: str, index: DataFrame, mentions: DataFrame, edges: DataFrame, exact: DataFrame | None = None, k: int = 5, hops: int = 2, most: int = 60) -> dict[str, DataFrame]:
+    """Chunks of the claim most like the question, the entities in them and in exact hits, and the edges around those, by distance, at most `most`.
+
+    The claim is a filter before anything is ranked. exact: entity_id of identifier lookups.
+    mentions: doc_id, start, end, entity_id. edges: as the graph's, with claim_id.
+    """
+    from notewright.operators.graph import neighbours
+    from notewright.operators.intervals import contained_join
+    from notewright.operators.vectors import search
+
+    found = search(index.withColumnRenamed("chunk_id", "vec_id"), question_vector, k, F.col("claim_id") == claim_id)
+    spans = found.select("doc_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+    seen = contained_join(mentions, spans).select("entity_id")
+    entities = (seen if exact is None else seen.union(exact.select("entity_id"))).distinct()
+    around = neighbours(edges, entities.select(F.concat(F.lit("ent:"), "entity_id").alias("id")), hops, F.col("claim_id") == claim_id)
+    return {"chunks": found, "entities": entities, "triples": around.orderBy("hop", "src", "dst", "predicate").limit(most)}
+
+
+def enrich(entities: DataFrame, links: DataFrame, most: int = 20) -> DataFrame:
+    """For each entity the others it shares values with, at most `most`, by degree."""
+    w = Window.partitionBy("entity_id").orderBy("degree", "other")
+    return links.join(entities.select("entity_id"), "entity_id", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
+def claim_dossier(claim_id: str, entities: DataFrame, edges: DataFrame, assertions: DataFrame) -> DataFrame:
+    """One row: claim_id, parties, n_edges, allegations (from assertions, which hold their evidence)."""
+    parties = entities.where(F.array_contains("claims", claim_id)).agg(F.array_sort(F.collect_list(F.struct("entity_id", "canonical_name", "entity_class"))).alias("parties"))
+    n = edges.where(F.col("claim_id") == claim_id).agg(F.count("*").alias("n_edges"))
+    said = assertions.where((F.col("claim_id") == claim_id) & (F.col("predicate") == "allegation")).agg(F.array_sort(F.collect_list("value")).alias("allegations"))
+    return parties.crossJoin(n).crossJoin(said).withColumn("claim_id", F.lit(claim_id))  # one row each
