@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,7 +195,36 @@ def read_answers(runs: DataFrame) -> DataFrame:
 
     items = runs.select("run_id", "answer", "text").mapInPandas(cut, f"run_id {kind}, seq int, line int, body string, repair string, truncated boolean, text string")
     each = items.where("body is not null").withColumn("i", normalize_item(F.col("body"))).withColumn("at", locate_quote("text", F.col("i.quote"), F.col("i.before"), F.col("i.occurrence")))
-    from pyspark.sql import Window
-
     same = Window.partitionBy("run_id", "i.kind", "at.start", "at.end", "i.field", "i.value", "i.key").orderBy("seq")
     return each.withColumn("duplicate", F.row_number().over(same) > 1).select("run_id", "seq", "line", "i.*", "at.status", "at.start", "at.end", "at.how", "duplicate", "truncated", "repair")
+
+
+ACTIONS = ("entity", *DEPENDENT, "unclear")
+
+
+def queue_snapshot(candidates: DataFrame, docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """candidate_key, state (ready, needs_attention, duplicate, refused), reason, start, end of a snapshot of candidates.
+
+    candidates: snapshot_id, candidate_key, note, action, quote, occurrence. docs: note, text. seen:
+    snapshot_id of snapshots that were saved before. A key that repeats, or an action that isn't
+    known, is refused. An occurrence that isn't there is repaired if the quote stands once.
+    """
+    copies = F.count("*").over(Window.partitionBy("snapshot_id", "candidate_key"))
+    old = seen.select("snapshot_id").distinct().withColumn("__old", F.lit(True))
+    j = candidates.withColumn("__copies", copies).join(docs.select("note", "text"), "note", "left").join(old, "snapshot_id", "left")
+    j = j.withColumn("at", locate_quote("text", "quote", F.lit(None).cast("string"), F.col("occurrence")))
+    refused = F.when(F.col("__copies") > 1, "repeated key").when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action")
+    state = F.when(F.col("__old"), "duplicate").when(refused.isNotNull(), "refused").when(F.col("at.start").isNotNull(), "ready").otherwise("needs_attention")
+    reason = F.when(F.col("__old").isNull(), F.coalesce(refused, F.when(F.col("at.start").isNull(), F.col("at.status"))))
+    return j.select("snapshot_id", "candidate_key", "note", "action", state.alias("state"), reason.alias("reason"), "at.start", "at.end")
+
+
+def next_candidates(queue: DataFrame, needs: DataFrame) -> DataFrame:
+    """The first open candidate of each note: by place, entities before others, and none before the entity it needs.
+
+    queue: note, candidate_key, action, start, done. needs: candidate_key, entity_key (another candidate).
+    """
+    open_ = queue.where("not done")
+    waiting = needs.join(open_.select(F.col("candidate_key").alias("entity_key")), "entity_key", "left_semi").select("candidate_key").distinct()
+    w = Window.partitionBy("note").orderBy(F.col("start").asc_nulls_last(), F.when(F.col("action") == "entity", 0).otherwise(1), "candidate_key")
+    return open_.join(waiting, "candidate_key", "left_anti").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -125,3 +125,26 @@ def c16(spark, sf_dir):
     answer = F.concat(F.lit("Here you are:\n"), F.to_json(F.struct(F.lit("detail").alias("kind"), F.lit("phone").alias("field"), quote.alias("quote"), F.lit("5").alias("value"))), F.lit("\n{\"kind\": \"mention\", \"quote\": \"nowhere\",}\n{\"kind\": "))
     runs = d.select(F.col("doc_id").alias("run_id"), "text", answer.alias("answer"))
     return drafts.read_answers(runs).select("run_id", "seq", "kind", "status", "start", "end", F.array_join("problems", ",").alias("problems"))
+
+
+@query("c18_queue_snapshot")
+def c18(spark, sf_dir):
+    from notewright.functions import drafts
+
+    d = table(spark, sf_dir, "documents").where("length(text) >= 80")
+    k = F.col("doc_id")
+    action = F.when(k % 7 == 0, "dance").otherwise("detail")
+    c = d.select((k % 5).alias("snapshot_id"), F.when(k % 11 == 0, F.lit("same")).otherwise(k.cast("string")).alias("candidate_key"), k.alias("note"), action.alias("action"), F.when(k % 3 == 0, "not there at all").otherwise(F.substring("text", 31, 20)).alias("quote"), F.lit(9).alias("occurrence"))
+    seen = spark.createDataFrame([(4,)], "snapshot_id long")
+    return drafts.queue_snapshot(c, d.select(k.alias("note"), "text"), seen).select("snapshot_id", "candidate_key", "note", "state", "reason", "start")
+
+
+@query("c18_next_candidate", "SELECT o_custkey AS note, o_orderkey AS candidate_key FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS need FROM orders WHERE o_orderkey % 4 > 0) a WHERE need IS NULL OR need NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END, o_orderkey) = 1")
+def c18_next(spark, sf_dir):
+    from notewright.functions import drafts
+
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    queue = o.select(F.col("o_custkey").alias("note"), k.alias("candidate_key"), F.when(k % 2 == 0, "entity").otherwise("detail").alias("action"), (k % 50).alias("start"), (k % 4 == 0).alias("done"))
+    needs = o.where("o_orderkey % 3 = 0").select(k.alias("candidate_key"), (k + 1).alias("entity_key"))
+    return drafts.next_candidates(queue, needs).select("note", "candidate_key")
