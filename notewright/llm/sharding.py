@@ -11,7 +11,8 @@ for ranges of the hash only: 4,096 ranges first; the search is run once with ran
 divisible (a lower bound of the capacity) and once as atomic (an upper bound). While the bounds
 differ, the ranges in which a cut can fall are split in 64 by one small aggregation over the
 groups. When they agree, the capacity is the exact optimum. The number of ranges held depends on
-the number of shards alone.
+the number of shards alone. No shard exceeds the capacity; below it, each is cut as near to an
+even share of what is left as the ranges' edges allow, so that the last isn't left with less.
 
 Null and empty texts are one group of empty text; rows that repeat stay rows of their own. Two
 different texts whose hashes agree would share a group, which keeps the law intact.
@@ -19,7 +20,7 @@ different texts whose hashes agree would share a group, which keeps the law inta
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -91,6 +92,26 @@ class Walk:
                 low = mid + 1
         return low
 
+    def even_cuts(self, capacity: int, shards: int) -> list[int]:
+        """Where each shard but the last ends, at edges of spans: as near to an even share of what is left as the capacity allows.
+
+        latest[i] is the least end of shard i from which the rest still fits, walking back from the end.
+        """
+        edges = [0, *self.ends]
+        latest = [self.total]
+        for _ in range(shards - 1):
+            latest.append(edges[bisect_left(edges, latest[-1] - capacity)])
+        latest = latest[-1:0:-1]
+        at, out = 0, []
+        for i in range(shards - 1):
+            even = at + (self.total - at) / (shards - i)
+            k = min(bisect_left(edges, even), len(edges) - 1)
+            best = edges[k] if k == 0 or edges[k] - even <= even - edges[k - 1] else edges[k - 1]
+            most = edges[bisect_right(edges, at + capacity) - 1]
+            at = max(at, min(max(best, latest[i]), most))
+            out.append(at)
+        return out
+
     def near(self, low: list[int], high: list[int]) -> list[Span]:
         """Spans of several groups that meet one of the ranges of bytes."""
         found: dict[int, Span] = {}
@@ -142,7 +163,7 @@ def minimax(groups: DataFrame, shards: int) -> tuple[list[int], list[int], int]:
         gone = set(widest)
         spans = [s for s in spans if s not in gone] + parts
     starts = []
-    for cut in walk.cuts(high, n, True)[0]:
+    for cut in walk.even_cuts(high, n):
         i = bisect_right(walk.ends, cut)
         if cut < walk.total:
             starts.append(walk.spans[i].low)
