@@ -26,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex and its smaller neighbours are tied to the least of them; edges point from larger to smaller."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     return down.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
 
 
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         nodes = nodes.union(vertices.select(vertices.columns[0]).where(F.col(vertices.columns[0]).isNotNull()))
     now = materialize(_distinct(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "components")
     while not _stars(now):
-        half = materialize(_distinct(_large_star(now)), "components")
+        half = materialize(_large_star(now), "components")
         now = materialize(_distinct(_small_star(half)), "components")
     return nodes.distinct().withColumnRenamed("u", "node").join(now.toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
