@@ -324,10 +324,8 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
         texts = materialize(texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("class", "chunks", "chunk", "text")]).select("class", "chunks", "chunk", "node", "text"), "neardup-texts")
     edges = materialize(compare(texts, ["class", "chunk"], idf, limit), "neardup-edges")
     wide = texts.where("chunks > 1")
-    if not wide.isEmpty():
-        edges = _across(wide, edges, idf, limit)
-    linked = edges.where("u <> v").select("u", "v")
-    joined = connected_components(linked).toDF("node", "component")
+    joined = _across(wide, edges, idf, limit) if not wide.isEmpty() else connected_components(edges.where("u <> v").select("u", "v"))
+    joined = joined.toDF("node", "component")
     named = nodes.join(joined, "node", "left").select("node", "own", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("own").alias("first"))
     firsts = materialize(firsts, "neardup-firsts")  # the join deals its sides anew, so that Spark can split a very large class
@@ -343,25 +341,31 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
 
 
 def _across(wide: DataFrame, edges: DataFrame, idf: np.ndarray, limit: float) -> DataFrame:
-    """The edges, and those that join the chunks of classes with several."""
+    """node, component: by the edges, and by those that join the chunks of classes with several."""
     classes = wide.select("class", "chunk").distinct()
     roots = edges.join(classes.select("class").distinct(), "class", "left_semi").where("degree > 0").select("class", F.col("v").alias("node"), "degree").distinct()
     best = roots.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("degree"), "node"))).where(F.col("rank") <= PIVOTS)
     pivots = wide.join(best.select("class", "node"), ["class", "node"]).select("class", "node", "text")
     again = wide.select("class", "chunk", "node", "text").union(pivots.join(classes, "class").select("class", "chunk", "node", "text"))
     edges = materialize(edges.union(compare(again, ["class", "chunk"], idf, limit)), "neardup-edges")
-    joined = connected_components(edges.where("u <> v").select("u", "v"), wide.select("node")).toDF("node", "component")
+    joined = materialize(connected_components(edges.where("u <> v").select("u", "v"), wide.select("node")), "neardup-joined").toDF("node", "component")
     own = wide.select("class", "chunk", "node").join(joined, "node")
     largest = own.groupBy("class", "component").count().groupBy("class").agg(F.max(F.struct("count", "component")).alias("top"))
     rest = own.join(largest, "class").where(F.col("component") != F.col("top.component")).select("class", "node")
     rest = materialize(rest, "neardup-rest")
     if rest.isEmpty():
-        return edges
+        return joined
     blocks = rest.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     left = wide.join(rest.join(blocks, "class"), ["class", "node"]).select("class", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").alias("block"), "node", "text")
     left = left.join(classes, "class").select("class", "chunk", "block", "node", "text")
     right = wide.join(blocks, "class").select("class", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "text")
-    return materialize(edges.union(compare(left.union(right), ["class", "chunk", "block"], idf, limit)), "neardup-edges")
+    late = materialize(compare(left.union(right), ["class", "chunk", "block"], idf, limit).where("u <> v").select("u", "v"), "neardup-late")
+    # The late links join components that are known, so only their ends are walked again.
+    ends = late.join(joined.toDF("u", "a"), "u").join(joined.toDF("v", "b"), "v").where("a <> b").select("a", "b").distinct()
+    if ends.isEmpty():
+        return joined
+    merged = connected_components(ends).toDF("component", "root")
+    return joined.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def classes(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
