@@ -37,6 +37,8 @@ from notewright.llm.common import materialize, read_range, scratch
 REVISIT_BYTES = 100
 BLOCK = 8 << 20
 HEADER_MOST = 1 << 20
+#: Payloads on several pages, a row of some 100 bytes each: up to so many are broadcast (20 MB), more are joined by a shuffle of the pages.
+SHARED_TO_BROADCAST = 200_000
 SEPARATOR = "\r\n\r\n"
 VERSION = "WARC/1.1\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -59,6 +61,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     facts = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"))
     shared = facts.where((F.col("bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(shared, "warc-shared")
+    if shared.count() <= SHARED_TO_BROADCAST:
+        shared = F.broadcast(shared)
     joined = facts.join(shared, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
     revisit = F.coalesce(revisit & (F.col("bytes") >= REVISIT_BYTES), F.lit(False))
