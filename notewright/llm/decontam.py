@@ -21,6 +21,8 @@ from notewright.llm.common import lower_ascii
 WINDOW = 8
 WINDOWS_AT_ONCE = 200_000
 NOT_WORD = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same in a text as it came, where A-Z are still letters.
+NOT_WORD_RAW = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -110,9 +112,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_it
     """
     found = find_hits(docs, benchmark, n).where(F.size("__named") < min_items)
     # A text is cut into its words, each with what stands before it, and a tail without a word.
-    pieces = f"regexp_extract_all(text, '({NOT_WORD[:-1]}*)([^{NOT_WORD[1:-2]}]+)', 0)"
+    pieces = f"regexp_extract_all(text, '({NOT_WORD_RAW[:-1]}*)([^{NOT_WORD_RAW[1:-2]}]+)', 0)"
     kept = f"array_join(filter({pieces}, (t, i) -> NOT exists(__spans, s -> i + 1 >= s.p AND i + 1 < s.p + s.len)), '')"
-    tail = f"regexp_extract(text, '{NOT_WORD[:-1]}*$', 0)"
+    tail = f"regexp_extract(text, '{NOT_WORD_RAW[:-1]}*$', 0)"
     text = F.when(F.size("__spans") > 0, F.expr(f"concat({kept}, {tail})")).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -68,3 +68,14 @@ def test_spans_and_documents_go(spark, documents, rows):
     assert rows(got, "doc_id", "text", "n_chars", "shard") == [(1, "Keep! stay.", 11, "own"), (3, "clean text.", 11, "own"), (4, None, None, "own")]
     left = decontam.contamination(got, bench)
     assert all(r["n_items"] == 0 for r in left.collect())
+
+
+def test_capitals_are_words_of_the_text(spark, documents, rows):
+    passage = "a1 a2 a3 a4 a5 a6 a7 a8"
+    bench = spark.createDataFrame([(1, passage), (2, "seven of these words are in capital letters")], "item_id long, text string")
+    docs = documents([
+        (1, f"I say: USA, McDonald {passage} stay here.", "s"), (2, f"Keep this. {passage.upper()}! Stay.", "s"),
+        (3, "A McDonald SEVEN OF THESE WORDS ARE IN CAPITAL LETTERS", "s"), (4, "Seven Of These WORDS are In capital leTTers: I STAY IN THE USA.\n", "s"),
+    ])
+    got = decontam.decontaminate(docs, bench)
+    assert rows(got, "doc_id", "text") == [(1, "I say: USA, McDonald stay here."), (2, "Keep this! Stay."), (3, "A McDonald"), (4, ": I STAY IN THE USA.\n")]
