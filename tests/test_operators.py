@@ -231,3 +231,12 @@ def test_graph_and_profile(spark):
     a = spark.createDataFrame([(1, "has_npi", "1568291037", "llm", "asserted", 1, None), (1, "has_npi", "123", "llm", "asserted", 2, None), (1, "x", "v", "llm", "retracted", 3, None)], "entity_id long, attribute string, value_norm string, extractor string, polarity string, seq int, valid_from string")
     s = profile.survivorship(a.withColumn("tier", profile.tier(F.col("attribute"), F.col("extractor"), F.col("value_norm"))))
     assert rows(s, "value_norm", "tier", "known_to", "conflict_flag") == [("123", "narrative", None, 0), ("1568291037", "validated_id", None, 0), ("v", "narrative", "retracted", 0)]
+
+
+def test_scoped_answer_reads_all_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [(1, "the token of the claim", "src0"), (13, "the token of a claim", "src0"), (20, "nothing alike here", "src0"), (21, "the token of the claim", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["j02_scoped_answer"](spark, str(tmp_path))
+    assert rows(got, "src", "dst", "predicate", "hop") == [("ent:1", "claim:src0", "PARTY_TO", 1), ("ent:6", "claim:src0", "PARTY_TO", 1)]
