@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from notewright.llm import pii
 
@@ -42,6 +45,36 @@ def test_added_kinds():
     assert kinds("https://user:pw@localhost/x") and not kinds("mytoken = aaaaaaaaaaaaaaaaaaaaaaaa1")
 
 
+def test_cues_in_any_spelling():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t)[1]]
+    key = "Ab1" * 8
+    for cue in ("API key", "API_key", "apiKey", "api-key", "Secret Key", "ACCESS KEY", "Token"):
+        assert kinds(f"{cue}: {key}") == [("secret", key)], cue
+    assert kinds("Password: hunter2!x") == [("secret", "hunter2!x")] and kinds("passwd=abc12 x") == [] and kinds("the password is: secret") == []
+    assert kinds("NUMÉRO DE COMPTE 12345678") == [("account", "12345678")]
+    assert kinds("Address: 12 Old Mill Road, Springfield, IL 62704. Next") == [("address", "12 Old Mill Road, Springfield, IL 62704")]
+    assert kinds("Anschrift: Lange Hauptstraße 12a, 10115 und") == [("address", "Lange Hauptstraße 12a, 10115")]
+    assert kinds("adresse: 5 rue de la Paix, 75002") == [("address", "5 rue de la Paix, 75002")]
+    assert kinds("an address to the nation in 1999 and 3 addresses") == []
+    assert kinds("ftp://a/http://u:p@h/x.") == [("url", "http://u:p@h/x")]
+
+
+@pytest.mark.parametrize(
+    "piece", ["7", "0", "1.", "1.1.1.1.", "0" * 50 + ".", "1 ", "+1", "+1(", "a@", "a@b.c", "@", "a", "http://a/", "http://u@h/", "iban ", "token=", "token=" + "a1" * 12 + " ", "address: 1 a ", "account 123456 ", "ssn ", "password:a1"]
+)
+def test_time_grows_with_the_text(piece):
+    """A megabyte of anything is done in seconds; nothing is tried again from every place of a run."""
+    text = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_long_runs_of_digits():
+    assert pii.find("0" * 5000 + ".1.1.1")[0] == [("ip", 0, 5006)]
+    assert pii.find("9" * 5000 + ".1.1.1 " + "1.2.3.4" + "5" * 5000)[0] == [] and pii.find("1.2.3.4." * 3)[0] == [("ip", 8 * i, 8 * i + 7) for i in range(3)]
+
+
 def test_report_and_redaction(documents, rows):
     texts = [None, "", "mail a.b@c.de and +1 (555) 010-9999", "é" * 100_000 + " x@y.zz", "none"]
     docs = documents([(i, t, "s") for i, t in enumerate(texts)])
