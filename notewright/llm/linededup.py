@@ -1,6 +1,7 @@
 """Line dedup over whole corpora: range-partitioned line hashes, decided in sorted streams.
 
-1. One scan turns every line into (128-bit hash of its key, 128-bit document key, position).
+1. One scan turns every line into (128-bit hash of its key, 128-bit document key, position, rows).
+   Rows that repeat whole within a batch are one entry that counts them.
 2. The narrow rows are range-partitioned by (hash, document) and sorted by position within. Equal
    (hash, document) pairs share a partition, but a hot line spreads over as many partitions as
    its documents need, so no line's rows have to fit one task.
@@ -11,7 +12,7 @@
 4. What is dropped returns to its documents as a compressed bitmap of the lines to keep. Texts
    are read once more to apply it, and never pass through the line stages.
 
-Rows with the same doc_id and text are one document: they count once and get the same bitmap.
+Every row is a document: rows with the same doc_id and text count one by one, and share a bitmap.
 A null or empty text is one empty line. Line keys are the line without ASCII white space at its
 ends, A-Z in lower case; keys shorter than min_chars are never dropped.
 """
@@ -33,7 +34,7 @@ from notewright.llm.common import bound_batches, document_key, materialize
 from notewright.llm.textvec import slices
 
 SPACE = b" \t\n\x0b\x0c\r"
-LINES = "__d1 long, __d2 long, pos long, h1 long, h2 long"
+LINES = "__d1 long, __d2 long, pos long, h1 long, h2 long, n long"
 DECIDED = "kind int, __d1 long, __d2 long, pos long, h1 long, h2 long, n long"
 DROP, OPEN, EDGE = 0, 1, 2
 
@@ -44,7 +45,10 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, rows, places = [], [], []
-            for row, text in enumerate(batch.column("text")):
+            own_keys = np.stack([batch.column(n).to_numpy() for n in ("__d1", "__d2")], axis=1)
+            _, firsts, copies = np.unique(own_keys, axis=0, return_index=True, return_counts=True)
+            for row in firsts.tolist():
+                text = batch.column("text")[row]
                 for pos, line in enumerate((text.as_py() or "").encode().split(b"\n")):
                     key = line.strip(SPACE).lower()  # bytes.lower() changes A-Z alone
                     if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars):
@@ -53,9 +57,10 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                         places.append(pos)
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             own = np.array(rows, np.int64)
-            d1, d2 = (batch.column(n).to_numpy()[own] if len(own) else np.zeros(0, np.int64) for n in ("__d1", "__d2"))
-            columns = [d1, d2, np.array(places, np.int64), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["__d1", "__d2", "pos", "h1", "h2"])
+            weight = np.zeros(batch.num_rows, np.int64)
+            weight[firsts] = copies
+            columns = [own_keys[own, 0], own_keys[own, 1], np.array(places, np.int64), h[:, 0], h[:, 1], weight[own]]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], ["__d1", "__d2", "pos", "h1", "h2", "n"])
 
     return bound_batches(docs.select(*document_key(), "text")).mapInArrow(run, LINES)
 
@@ -70,27 +75,33 @@ def _runs(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the current run that are still open
         hash_: tuple[int, int] | None = None
-        doc: tuple[int, int] | None = None
+        doc: tuple[int, int, int] | None = None  # the last document and the place of its first line in the run
         n_docs, edge = 0, True
 
         def close(last: bool) -> Iterator[pa.RecordBatch]:
             if hash_ is None:
                 return
             if edge or last:
-                yield rows(EDGE, np.array([[0, 0, 0, *hash_]], np.int64), n_docs)
+                yield rows(EDGE, np.array([[0, 0, 0, *hash_, 0]], np.int64), n_docs)
                 if held:
                     yield rows(OPEN, np.concatenate(held))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a = np.stack([batch.column(n).to_numpy() for n in ("__d1", "__d2", "pos", "h1", "h2")], axis=1)
+            a = np.stack([batch.column(n).to_numpy() for n in ("__d1", "__d2", "pos", "h1", "h2", "n")], axis=1)
             new_hash = np.ones(len(a), bool)
-            new_hash[1:] = (a[1:, 3:] != a[:-1, 3:]).any(axis=1)
+            new_hash[1:] = (a[1:, 3:5] != a[:-1, 3:5]).any(axis=1)
             new_doc = new_hash.copy()
             new_doc[1:] |= (a[1:, :2] != a[:-1, :2]).any(axis=1)
             starts = np.flatnonzero(new_hash)
-            counts = np.add.reduceat(new_doc.astype(np.int64), starts)
+            # A row of the table puts each of its lines here once, so the entries at a document's first place count its rows.
+            at_first = a[np.flatnonzero(new_doc), 2][np.cumsum(new_doc) - 1]
+            here = (int(a[0, 3]), int(a[0, 4]))
+            if here == hash_ and doc is not None and (int(a[0, 0]), int(a[0, 1])) == doc[:2]:  # goes on with the document of the batch before
+                stop = int(np.append(np.flatnonzero(new_doc)[1:], len(a))[0])
+                at_first[:stop] = doc[2]
+            counts = np.add.reduceat(np.where(a[:, 2] == at_first, a[:, 5], 0), starts)
             ends = np.append(starts[1:], len(a))
             # Runs that begin and end in this batch, but not with it, are decided at once.
             whole = np.flatnonzero(counts[1:-1] >= min_docs) + 1
@@ -98,13 +109,13 @@ def _runs(min_docs: int):
                 yield rows(DROP, np.concatenate([a[starts[i] : ends[i]] for i in whole]))
             for i in dict.fromkeys((0, len(starts) - 1)):
                 part = a[starts[i] : ends[i]]
-                here, first = (int(part[0, 3]), int(part[0, 4])), (int(part[0, 0]), int(part[0, 1]))
+                here = (int(part[0, 3]), int(part[0, 4]))
                 if here != hash_:
                     yield from close(False)
                     edge = hash_ is None
                     held, n_docs, doc, hash_ = [], 0, None, here
-                n_docs += int(counts[i]) - (first == doc)
-                doc = (int(part[-1, 0]), int(part[-1, 1]))
+                n_docs += int(counts[i])
+                doc = (int(part[-1, 0]), int(part[-1, 1]), int(at_first[ends[i] - 1]))
                 held.append(part)
                 if n_docs >= min_docs:
                     yield rows(DROP, np.concatenate(held))
@@ -141,7 +152,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
                 maps.append(zlib.compress(np.packbits(bits).tobytes(), 6))
             yield pa.record_batch([batch.column("__d1"), batch.column("__d2"), pa.array(maps, pa.binary())], ["__d1", "__d2", "keep"])
 
-    return dropped.groupBy("__d1", "__d2").agg(F.collect_list("pos").alias("places")).mapInArrow(pack, "__d1 long, __d2 long, keep binary")
+    return dropped.groupBy("__d1", "__d2").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "__d1 long, __d2 long, keep binary")
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[bytes], int]:

@@ -19,7 +19,7 @@ def brute(docs, limit):
     for n, (d, lines) in enumerate(split):
         for x in lines:
             if key(x):
-                own[key(x)].add((d, docs[n][1]))
+                own[key(x)].add(n)
     out = []
     for d, lines in split:
         kept = [x for x in lines if len(own.get(key(x), ())) < limit]
@@ -33,6 +33,7 @@ def test_against_brute_force(spark, documents, rows, parts):
     pool = ["Licensed.", " licensed. ", "ÉCOLE", "école", "x", "", "  ", "\tTab\x0b", "rare", " no-break "] + [f"line {i}" for i in range(30)]
     docs = [(i if i % 17 else None, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(120)]
     docs += [(500, None), (501, ""), (502, "x\n" * 5000), (503, "y" * 200_000), (504, "rep\nrep"), (504, "rep\nrep")]
+    docs += [(600, "same\nrows\nsame")] * 5 + [(601, "few\nrows")] * 4 + [(602, "x\nsome\nx\n")] * 3
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         got = linededup.line_report(documents([(i, t, "s") for i, t in docs]), 5)
@@ -54,6 +55,22 @@ def test_a_hot_line_in_many_partitions(spark, documents, rows):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_rows_that_repeat_count_one_by_one(spark, documents, rows, duck, tmp_path):
+    docs = [(1, "a line\nanother\na line")] * 12 + [(2, "own\nnine")] * 9 + [(3, "nine"), (None, None), (None, None)]
+    df = documents([(i, t, "s") for i, t in docs])
+    names = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    got = rows(linededup.line_report(df), *names)
+    assert got == brute(docs, 10)
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    done = con.execute(linededup.oracle_sql())
+    order = [[d[0] for d in done.description].index(n) for n in names]
+    assert got == sorted((tuple(r[i] for i in order) for r in done.fetchall()), key=repr)
+
+
 def test_texts(documents, rows):
     docs = documents([(i, f"Shared\n{i}", "s") for i in range(3)] + [(9, None, "s")])
     got = linededup.dedup_lines(docs, 3)
