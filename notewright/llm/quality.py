@@ -11,8 +11,10 @@ Two public vocabularies measure each whole text:
   characters decide).
 
 Bands belong to the language that the row names, else to the script most of its letters have.
-A text of fewer than MIN_TOKENS tokens is not judged by fertility, one of fewer than MIN_FOR_RATIO
-not by characters per token, which a few odd words decide there. The whole text is measured.
+One rule holds at every length: a band is wider by DOUBT tokens' worth, which a few odd words can make
+of a short text and which vanishes in a long one. The whole text is measured. The bands of the four
+languages and of LATIN are fitted to labelled texts; those of other scripts are estimates with no
+labelled text behind them, wide on purpose.
 """
 
 from __future__ import annotations
@@ -36,16 +38,15 @@ from notewright.llm.textvec import NOT_SPACE, inside, mix, slices, utf8, windows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
-MIN_TOKENS = 20
-MIN_FOR_RATIO = 100
+DOUBT = 20
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 5
 
 
 @dataclass(frozen=True)
 class Band:
-    """A text is rejected below min_chars or above max_chars characters per token, above max_fallback, or below
-    min(entropy, entropy_slope * log2(tokens)) bits."""
+    """A text is rejected below min_chars or above max_chars characters per token, above max_fallback, each widened
+    by the factor 1 + DOUBT / tokens, or below min(entropy, entropy_slope * log2(tokens)) bits."""
 
     min_chars: float
     max_chars: float = 8.0
@@ -143,12 +144,13 @@ def fertility(text: str, folder: str) -> tuple[int, float, float, float]:
 def verdict(lang: str | None, text: str, measured: tuple[int, float, float, float], bands: dict[str, Band]) -> str:
     """"" for a text inside its band, else the measures outside it, joined by commas."""
     n, chars, lost, entropy = measured
-    if n < MIN_TOKENS:
+    if not n:
         return ""
+    wider = 1 + DOUBT / n
     band = bands.get(lang or "") or bands.get(script(text)) or bands["OTHER"]
     found = [
-        ("chars_per_token", n >= MIN_FOR_RATIO and not band.min_chars <= chars <= band.max_chars),
-        ("byte_fallback", lost > band.max_fallback),
+        ("chars_per_token", not band.min_chars / wider <= chars <= band.max_chars * wider),
+        ("byte_fallback", lost > band.max_fallback * wider),
         ("entropy", entropy < min(band.entropy, band.entropy_slope * math.log2(n))),
     ]
     return ",".join(name for name, out in found if out)

@@ -53,9 +53,10 @@ def test_verdicts():
     bands = {"en": good, "LATIN": good, "CYRILLIC": quality.Band(0.1), "OTHER": good}
     assert quality.verdict("en", "x", (500, 3.0, 0.0, 7.0), bands) == ""
     assert quality.verdict("en", "x", (500, 1.0, 0.5, 3.0), bands) == "chars_per_token,byte_fallback,entropy"
-    assert quality.verdict("en", "x", (50, 1.0, 0.0, 5.0), bands) == ""
+    assert quality.verdict("en", "x", (10, 0.7, 0.2, 3.0), bands) == "" and quality.verdict("en", "x", (10, 0.6, 0.4, 3.0), bands) == "chars_per_token,byte_fallback"
+    assert quality.verdict("en", "x", (50, 1.4, 0.0, 5.0), bands) == "chars_per_token" and quality.verdict("en", "x", (50, 1.5, 0.0, 5.0), bands) == ""
     assert quality.verdict(None, "привет", (500, 1.0, 0.0, 7.0), bands) == "" and quality.script("привет ab") == "CYRILLIC"
-    assert quality.verdict(None, "", (5, 9.0, 1.0, 0.0), bands) == ""
+    assert quality.verdict(None, "", (0, 0.0, 0.0, 0.0), bands) == ""
 
 
 def test_clean_documents_stay(spark):
