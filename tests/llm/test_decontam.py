@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+
+import pytest
 
 from notewright.llm import decontam
 
@@ -45,12 +48,29 @@ def test_against_brute_force(spark, documents, rows):
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute(DOCS, BENCH)
 
 
-def test_benchmark_in_blocks(spark, documents, rows, monkeypatch):
-    monkeypatch.setattr(decontam, "WINDOWS_AT_ONCE", 3)
+@pytest.mark.parametrize("bits", [1 << 27, 128])
+def test_a_benchmark_beyond_the_broadcast(spark, documents, rows, monkeypatch, bits):
+    """Hashes go through a filter of a fixed size and are joined; what the filter passes by chance is not verified."""
+    monkeypatch.setattr(decontam, "WINDOWS_TO_BROADCAST", 3)
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontam, "SPANS_TO_BROADCAST", 0)
     docs = documents([(i, t, "s") for i, t in DOCS])
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = decontam.contamination(docs, bench)
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute(DOCS, BENCH)
+    left = decontam.decontaminate(docs, bench)
+    assert decontam.contamination(left, bench).where("n_hit > 0").count() == 0 and left.count() == sum(not x[5] for x in brute(DOCS, BENCH))
+
+
+def test_a_large_benchmark_and_a_very_long_text(spark, rows):
+    """A million windows and a text of 400,000 words: one scan, no text leaves it, time as in proportion."""
+    bench = spark.range(25_000).selectExpr("id as item_id", "array_join(transform(sequence(0, 46), i -> concat('b', id * 47 + i)), ' ') as text")
+    long_ = "array_join(transform(sequence(1, 400000), i -> concat('w', i)), ' ')"
+    docs = spark.range(3).selectExpr("id as doc_id", f"if(id = 0, concat({long_}, ' b47 b48 b49 b50 b51 b52 b53 b54'), concat('b94 b95 b96 b97 b98 b99 b100 b101 x', id)) as text")
+    began = time.perf_counter()
+    got = decontam.contamination(docs, bench)
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items") == [(0, 400_008, 8, 1), (1, 9, 8, 1), (2, 9, 8, 1)]
+    assert time.perf_counter() - began < 120
 
 
 def test_empty_tables(spark, documents, rows):
