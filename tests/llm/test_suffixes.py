@@ -58,12 +58,42 @@ def test_against_brute_force(documents, rows, seed):
         assert bool(x["first_docs"]) == (x["n_dropped"] > 0) and all(f < x["doc_id"] for f in x["first_docs"])
 
 
-def test_every_window_has_a_minimiser():
-    g = np.random.default_rng(3).integers(0, 50, 500).astype(np.uint64)
-    kept = set(suffixes.minimisers(g).tolist())
-    for i in range(len(g) - suffixes.SPAN + 1):
-        w = g[i : i + suffixes.SPAN]
-        assert all(i + j in kept for j in np.flatnonzero(w == w.min()))
+@pytest.mark.parametrize("n", [0, 1, 25, 26, 27, 500])
+def test_every_window_has_one_owner(n):
+    g = np.random.default_rng(3).integers(0, 50, n).astype(np.uint64)
+    own = [i + int(np.argmin(g[i : i + suffixes.SPAN])) for i in range(max(0, n - suffixes.SPAN + 1))]
+    assert suffixes.owners(g).tolist() == own
+    place, near, far = suffixes.kept(g)
+    assert sorted(int(p - o) for p, a, b in zip(place, near, far) for o in range(a, b + 1)) == list(range(len(own)))
+    assert all(own[p - o] == p for p, a, b in zip(place, near, far) for o in range(a, b + 1))
+
+
+def test_longest_matches_against_all_rows():
+    r = random.Random(4)
+    rows = sorted((r.randrange(2), b"".join(r.choice([b"a ", b"ab ", b"\x01 "]) for _ in range(6)), (r.randrange(3), 0)) for _ in range(80))
+    got = suffixes.longest_matches([h for h, _, _ in rows], [t for _, _, t in rows], [w for _, w, _ in rows])
+    want = [max((suffixes.shared_words(w, x) for g, x, u in rows if g == h and u != t), default=0) for h, w, t in rows]
+    assert all(n >= x for n, x in zip(got, want))  # more only at the edges, whose neighbours aren't seen
+    assert sum(n == x for n, x in zip(got, want)) > 70
+
+
+def test_hashes_that_collide_change_nothing(documents, rows, monkeypatch):
+    """The prefix hash only chooses and groups: with a handful of values, neighbours' words tell suffixes apart."""
+    whole = suffixes.prefix_hashes
+    monkeypatch.setattr(suffixes, "prefix_hashes", lambda h: whole(h) % np.uint64(5))
+    r = random.Random(8)
+    some = lambda n: [r.choice("abcdefghij") + str(r.randrange(30)) for _ in range(n)]
+    passages = [some(n) for n in (50, 70)]
+    docs = [(i, " ".join(some(40) + (passages[i % 2] if i % 3 else []) + some(40))) for i in range(30)]
+    got = suffixes.report(documents([(i, t, "s") for i, t in docs]))
+    assert rows(got, "doc_id", "n_words", "n_repeated", "n_dropped") == brute(docs)
+
+
+def test_ids_of_other_types(spark, rows):
+    p = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([("b-1", f"x {p}"), ("a-1", f"y {p} z"), (None, p), ("c", p)], "doc_id string, text string")
+    got = suffixes.report(docs)
+    assert rows(got, "doc_id", "n_dropped", "first_docs") == sorted([("b-1", 60, ["a-1"]), ("a-1", 0, []), (None, 60, ["c"]), ("c", 60, ["a-1"])], key=repr)
 
 
 def test_texts(documents, rows):
