@@ -5,18 +5,20 @@
    grows with the corpus exactly as the corpus does, so the weights behave alike at every size:
    idf tells shingles apart down to about one document in a few hundred and is level below that.
 2. Improved consistent weighted sampling (Ioffe, 2010) draws BANDS x ROWS samples of each text's
-   weighted shingles; two texts agree in a sample with the probability of their weighted Jaccard
-   similarity. Texts that agree in all samples of a band share a bucket.
-3. Equal texts are one node. Each bucket is a star around its least node; the components of these
-   stars are candidate classes. No bucket is expanded into pairs.
+   weighted shingles, a shingle that stands t times weighing 1 + ln t times its idf; two texts agree in a
+   sample with the probability of their weighted Jaccard similarity. Texts that agree in all
+   samples of a band share a bucket.
+3. Equal texts (128 bits over their words) are one node. Each bucket is a star around its least node; the
+   components of these stars are candidate classes. No bucket is expanded into pairs.
 4. Candidate classes are dealt into chunks of about CHUNK texts. A task compares the texts of a
    chunk exactly. A link is a weighted Jaccard similarity at or above the threshold, or a plain
    one: in a large group of near copies, TF-IDF makes what the copies share cheaper than their own
    edits, and would cut copies apart that share eight shingles of ten.
 5. Classes of several chunks are joined in two more steps: the best-linked texts of each class are
-   compared with all its chunks; then, exactly, every text that is still outside the class's
-   largest component with every chunk of its class, in blocks. Only connectivity is needed, so
-   what is already joined is not compared again.
+   compared with all its chunks; then, exactly, in every bucket that still holds texts of several
+   components, those outside the bucket's largest one with all of the bucket, in blocks. So a text
+   meets what its bands bring it together with, never the whole of a class that buckets chain
+   together. Only connectivity is needed: what is already joined is not compared again.
 
 Texts without words are near-duplicates of none. Repeated rows are copies of one another. doc_id
 may be null; a class is named by its least doc_id, null if it has none.
@@ -118,6 +120,11 @@ def weighted(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, own[at], times, idf[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
 
 
+def damped(times: np.ndarray) -> np.ndarray:
+    """What a shingle's times in a text multiply its idf by."""
+    return (1 + np.log(times)).astype(np.float32)
+
+
 def samples(hashes: np.ndarray, starts: np.ndarray, log_weight: np.ndarray, n: int) -> np.ndarray:
     """n consistent weighted samples of each text: an array of texts x n hashes.
 
@@ -144,11 +151,11 @@ def samples(hashes: np.ndarray, starts: np.ndarray, log_weight: np.ndarray, n: i
     return out
 
 
-SIGNED = "doc_id {kind}, __d1 long, __d2 long, node long, bytes long, bands array<long>"
+SIGNED = "doc_id {kind}, __d1 long, __d2 long, n1 long, n2 long, bytes long, bands array<long>"
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, document key, node (a hash of the words; null without words), bytes, bands."""
+    """doc_id, document key, n1 and n2 (128 bits of the words; null without words), bytes, bands."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # BUCKETS numbers: 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +165,23 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             bands = np.zeros((len(starts), BANDS), np.int64)
             if len(starts):
-                got = samples(hashes, starts, np.log(times.astype(np.float32) * idf_), BANDS * ROWS)
+                got = samples(hashes, starts, np.log(damped(times) * idf_), BANDS * ROWS)
                 acc = np.zeros((len(starts), BANDS), np.uint64)
                 for j in range(ROWS):
                     acc = mix(acc * np.uint64(31) + got[:, j::ROWS])
                 bands = acc.view(np.int64)
             with_words = own[starts]
-            node = np.zeros(len(column), np.int64)
+            digests = np.zeros((len(column), 2), np.int64)
             for i in with_words:
                 key = b" ".join(column[int(i)].as_py().encode().lower().split())  # bytes: ASCII case and white space alone
-                node[i] = np.uint64(xxhash.xxh3_64_intdigest(key)).astype(np.int64)
+                digests[i] = np.frombuffer(xxhash.xxh3_128_digest(key), "<i8")
             none = np.ones(len(column), bool)
             none[with_words] = False
             at = np.zeros(len(column) + 1, np.int32)
             at[1:] = np.cumsum(~none) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel()), mask=pa.array(none))
             _, off = utf8(column)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("__d1"), batch.column("__d2"), pa.array(node, mask=none), pa.array(np.diff(off)), lists], ["doc_id", "__d1", "__d2", "node", "bytes", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("__d1"), batch.column("__d2"), *(pa.array(digests[:, k].copy(), mask=none) for k in (0, 1)), pa.array(np.diff(off)), lists], ["doc_id", "__d1", "__d2", "n1", "n2", "bytes", "bands"])
 
     own = docs.select("doc_id", *document_key(), "text")
     return own.mapInArrow(run, SIGNED.format(kind=docs.schema["doc_id"].dataType.simpleString()))
@@ -184,11 +191,12 @@ def _links(members: list[tuple[int, str]], groups: np.ndarray, idf: np.ndarray,
     """Pairs of positions in members, of one group, whose similarity reaches the limit."""
     m = len(members)
     hashes, own, times, weight = weighted(pa.array([t for _, t in members], pa.large_string()), idf)
-    # A shingle that stands t times is t units of its idf, so weighted sums are sums over units.
+    # A shingle that stands t times is t units that weigh 1 + ln t times its idf together, so weighted sums are sums over units.
     unit = np.repeat(np.arange(len(hashes)), times)
     level = np.arange(len(unit)) - np.repeat(np.cumsum(times) - times, times)
     key = mix(hashes[unit] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(groups[own[unit]].astype(np.uint64))
-    doc, w, plain = own[unit], weight[unit].astype(np.float64), level == 0
+    doc, plain = own[unit], level == 0
+    w = weight[unit].astype(np.float64) * np.where(plain, 1.0, np.log1p(1 / np.maximum(level, 1)))
     total_w = np.bincount(doc, weights=w, minlength=m)
     total_n = np.bincount(doc[plain], minlength=m)
     order = np.lexsort((doc, key))
@@ -305,8 +313,8 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
     frequencies, n = document_frequencies(own)
     idf = weights_of(frequencies, n)
     rows = materialize(signatures(own, idf), "neardup-signatures")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__d1", "__d2")).alias("own"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "neardup-nodes")
+    nodes = rows.where("n1 is not null").groupBy("n1", "n2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__d1", "__d2")).alias("own"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     # Stars of buckets: their members and least node.
     placed = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     centres = placed.groupBy("band", "h").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -324,24 +332,27 @@ def near_duplicates(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
         texts = materialize(texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("class", "chunks", "chunk", "text")]).select("class", "chunks", "chunk", "node", "text"), "neardup-texts")
     edges = materialize(compare(texts, ["class", "chunk"], idf, limit), "neardup-edges")
     wide = texts.where("chunks > 1")
-    joined = _across(wide, edges, idf, limit) if not wide.isEmpty() else connected_components(edges.where("u <> v").select("u", "v"))
+    joined = _across(wide, edges, placed, idf, limit) if not wide.isEmpty() else connected_components(edges.where("u <> v").select("u", "v"))
     joined = joined.toDF("node", "component")
-    named = nodes.join(joined, "node", "left").select("node", "own", F.coalesce("component", "node").alias("component"))
+    named = nodes.join(joined, "node", "left").select("n1", "n2", "own", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("own").alias("first"))
     firsts = materialize(firsts, "neardup-firsts")  # the join deals its sides anew, so that Spark can split a very large class
-    table = materialize(named.join(firsts, "component").select("node", F.col("first.doc_id").alias("class_id"), F.struct("first.__d1", "first.__d2").alias("kept")), "neardup-named")
-    out = rows.select("doc_id", "__d1", "__d2", "node").join(table, "node", "left")
+    table = materialize(named.join(firsts, "component").select("n1", "n2", F.col("first.doc_id").alias("class_id"), F.struct("first.__d1", "first.__d2").alias("kept")), "neardup-named")
+    out = rows.select("doc_id", "__d1", "__d2", "n1", "n2").join(table, ["n1", "n2"], "left")
     return out.select(
         "doc_id",
         "__d1",
         "__d2",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("n1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("kept") == F.struct("__d1", "__d2"), F.lit(True)).alias("best"),
     )
 
 
-def _across(wide: DataFrame, edges: DataFrame, idf: np.ndarray, limit: float) -> DataFrame:
-    """node, component: by the edges, and by those that join the chunks of classes with several."""
+def _across(wide: DataFrame, edges: DataFrame, placed: DataFrame, idf: np.ndarray, limit: float) -> DataFrame:
+    """node, component: by the edges, and by those that join the chunks of classes with several.
+
+    wide: the texts of these classes; placed: node, band, h of every node.
+    """
     classes = wide.select("class", "chunk").distinct()
     roots = edges.join(classes.select("class").distinct(), "class", "left_semi").where("degree > 0").select("class", F.col("v").alias("node"), "degree").distinct()
     best = roots.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("degree"), "node"))).where(F.col("rank") <= PIVOTS)
@@ -349,17 +360,26 @@ def _across(wide: DataFrame, edges: DataFrame, idf: np.ndarray, limit: float) ->
     again = wide.select("class", "chunk", "node", "text").union(pivots.join(classes, "class").select("class", "chunk", "node", "text"))
     edges = materialize(edges.union(compare(again, ["class", "chunk"], idf, limit)), "neardup-edges")
     joined = materialize(connected_components(edges.where("u <> v").select("u", "v"), wide.select("node")), "neardup-joined").toDF("node", "component")
-    own = wide.select("class", "chunk", "node").join(joined, "node")
-    largest = own.groupBy("class", "component").count().groupBy("class").agg(F.max(F.struct("count", "component")).alias("top"))
-    rest = own.join(largest, "class").where(F.col("component") != F.col("top.component")).select("class", "node")
-    rest = materialize(rest, "neardup-rest")
-    if rest.isEmpty():
+    # Buckets that hold several components, and their texts outside the largest one of each.
+    size = F.octet_length("text").cast("long").alias("bytes")
+    bucket = F.xxhash64("band", "h").alias("bucket")
+    own = materialize(placed.select("node", bucket).join(wide.select("node", size), "node").join(joined, "node"), "neardup-buckets")
+    counts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("components > 1")
+    parts = lambda n, most, bytes_: F.greatest(F.ceil(n / F.lit(most)), F.ceil(bytes_ / F.lit(CHUNK_BYTES)))
+    mixed = materialize(mixed.select("bucket", F.col("top.component").alias("largest"), parts(F.col("n"), CHUNK, F.col("bytes")).alias("chunks")), "neardup-mixed")
+    if mixed.isEmpty():
         return joined
-    blocks = rest.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    left = wide.join(rest.join(blocks, "class"), ["class", "node"]).select("class", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").alias("block"), "node", "text")
-    left = left.join(classes, "class").select("class", "chunk", "block", "node", "text")
-    right = wide.join(blocks, "class").select("class", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "text")
-    late = materialize(compare(left.union(right), ["class", "chunk", "block"], idf, limit).where("u <> v").select("u", "v"), "neardup-late")
+    members = materialize(own.join(mixed, "bucket").select("bucket", "node", "bytes", "chunks", (F.col("component") != F.col("largest")).alias("apart")), "neardup-members")
+    blocks = members.where("apart").groupBy("bucket").agg(parts(F.count("*"), BLOCK, F.sum("bytes")).alias("blocks"))
+    members = members.join(blocks, "bucket")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = members.where("apart").select("bucket", "node", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").alias("block"), upto("chunks").alias("chunk"))
+    right = members.select("bucket", "node", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), upto("blocks").alias("block"))
+    met = left.select("bucket", "chunk", "block", "node").union(right.select("bucket", "chunk", "block", "node")).distinct()
+    met = materialize(met, "neardup-met")  # the join deals its sides anew, so that Spark can split a text of many blocks
+    late = compare(wide.select("node", "text").join(met, "node"), ["bucket", "chunk", "block"], idf, limit).where("u <> v").select("u", "v")
+    late = materialize(late, "neardup-late")
     # The late links join components that are known, so only their ends are walked again.
     ends = late.join(joined.toDF("u", "a"), "u").join(joined.toDF("v", "b"), "v").where("a <> b").select("a", "b").distinct()
     if ends.isEmpty():

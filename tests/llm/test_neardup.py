@@ -76,6 +76,30 @@ def test_a_group_of_many_chunks(documents, monkeypatch):
         assert set(got.values()) == {0}
 
 
+def test_buckets_join_what_chunks_keep_apart(documents, monkeypatch):
+    """A class of several groups that a common passage chains together: without pivots, buckets alone bring each group together."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "PIVOTS", 0)
+    r = random.Random(6)
+    shared = words(r, 60)
+    texts = []
+    for _ in range(8):
+        base = shared + words(r, 60)
+        texts += [" ".join(base)] + [" ".join(edited(r, base, 2)) for _ in range(5)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert partition(got) == partition(dict(enumerate(brute(texts))))
+
+
+def test_other_repeat_counts_of_one_line(documents):
+    """Equal sets of shingles are linked, however often a line repeats."""
+    r = random.Random(3)
+    own, line = words(r, 60), words(r, 10)
+    texts = [" ".join(own + line * k) for k in (4, 9, 40)] + [" ".join(words(r, 60) + line * 4)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_repeated_rows_null_ids_and_the_stage(documents):
     r = random.Random(2)
     a, b = " ".join(words(r, 60)), " ".join(words(r, 60))
@@ -111,10 +135,11 @@ def test_links_against_brute_force(m):
         h, _ = neardup.shingles(pa.array([t]))
         count.append(Counter(h.tolist()))
     weight = lambda x: float(idf[x % neardup.BUCKETS])
+    times = lambda n: 1 + math.log(n) if n else 0.0
     for i in range(m):
         for j in range(i + 1, m):
             a, b = count[i], count[j]
-            s = sum(weight(x) * min(a[x], b[x]) for x in a) / sum(weight(x) * max(a[x], b[x]) for x in a | b)
+            s = sum(weight(x) * times(min(a[x], b[x])) for x in a) / sum(weight(x) * times(max(a[x], b[x])) for x in a | b)
             plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
             if abs(s - 0.6) > 1e-3 and abs(plain - 0.6) > 1e-3:
                 assert ((i, j) in got) == (max(s, plain) >= 0.6)
