@@ -12,7 +12,8 @@ divisible (a lower bound of the capacity) and once as atomic (an upper bound). W
 differ, the ranges in which a cut can fall are split in 64 by one small aggregation over the
 groups. When they agree, the capacity is the exact optimum. The number of ranges held depends on
 the number of shards alone. No shard exceeds the capacity; below it, each is cut as near to an
-even share of what is left as the ranges' edges allow, so that the last isn't left with less.
+even share of what is left as the ranges' edges allow: cut at the capacity itself, all shards but the
+last are full and the last holds what is left, which may be little.
 
 Null and empty texts are one group of empty text; rows that repeat stay rows of their own. Two
 different texts whose hashes agree would share a group, which keeps the law intact.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.common import materialize, text_bytes
@@ -170,27 +171,19 @@ def minimax(groups: DataFrame, shards: int) -> tuple[list[int], list[int], int]:
     return alone, starts, high
 
 
-def shard(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, string, shard, slot, grown_shard.
-
-    A document's size is the UTF-8 bytes of its text plus overhead. Slots count from 0 in each
-    shard without gaps, in the order of the text's hash, then doc_id; a null doc_id comes first.
-    An empty table gives an empty result; fewer groups than shards leave shards empty.
-    """
-    text = F.coalesce("text", F.lit(""))
-    facts = materialize(
-        docs.select("doc_id", (text_bytes(text) + F.lit(overhead)).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")),
-        "shard-facts",
-    )
-    groups = materialize(facts.groupBy("h").agg(F.sum("size").alias("bytes")), "shard-groups")
+def _shard_number(groups: DataFrame, shards: int) -> Column:
+    """The shard of a row, by the hash h of its text."""
     alone, starts, _ = minimax(groups, shards)
     number = F.lit(len(alone))
     for s in starts:
         number = number + (F.col("h") >= F.lit(s)).cast("int")
     for i, h in enumerate(alone):
         number = F.when(F.col("h") == F.lit(h), F.lit(i)).otherwise(number)
-    placed = facts.select("*", number.cast("int").alias("shard"))
-    order = ["shard", "h", "doc_id", "row"]
+    return number.cast("int")
+
+
+def _with_slots(placed: DataFrame, order: list[str]) -> DataFrame:
+    """placed (with shard) and slot long: its place in its shard, in the given order, whose first column is shard."""
     dealt = materialize(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "shard-order")
     # How many rows stand before each task's first and each shard's first: a row a task and a shard.
     task = F.shiftright("at", 33)
@@ -202,20 +195,40 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataFr
         before_task.setdefault(r["task"], seen)
         before_shard.setdefault(r["shard"], seen)
         seen += r["count"]
-    spark = docs.sparkSession
+    spark = placed.sparkSession
     tasks = spark.createDataFrame([*before_task.items()], "task long, before_task long")
     firsts = spark.createDataFrame([*before_shard.items()], "shard int, before_shard long")
-    return (
-        dealt.withColumn("task", task)
-        .join(F.broadcast(tasks), "task")
-        .join(F.broadcast(firsts), "shard")
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            "shard",
-            (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before_task") - F.col("before_shard")).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    slot = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before_task") - F.col("before_shard")
+    return dealt.withColumn("task", task).join(F.broadcast(tasks), "task").join(F.broadcast(firsts), "shard").withColumn("slot", slot).select(*placed.columns, "slot")
+
+
+def shard(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, string, shard, slot, grown_shard.
+
+    A document's size is the UTF-8 bytes of its text plus overhead. Slots count from 0 in each
+    shard without gaps, in the order of the text's hash, then doc_id; a null doc_id comes first.
+    An empty table gives an empty result; fewer groups than shards leave shards empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    facts = materialize(
+        docs.select("doc_id", (text_bytes(text) + F.lit(overhead)).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")),
+        "shard-facts",
     )
+    groups = materialize(facts.groupBy("h").agg(F.sum("size").alias("bytes")), "shard-groups")
+    placed = facts.withColumn("shard", _shard_number(groups, shards))
+    return _with_slots(placed, ["shard", "h", "doc_id", "row"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataFrame:
+    """The documents with the columns they came with, in the order of shards and slots, and after these size, text_crc32, shard and slot.
+
+    docs has none of these four names. Shards and slots are those of shard(); of rows that agree in text and
+    doc_id, any may come first.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size = text_bytes(text) + F.lit(overhead)
+    groups = materialize(docs.select(F.xxhash64(text).alias("h"), size.alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), "shard-groups")
+    number = _shard_number(groups, shards)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    placed = _with_slots(whole.withColumn("shard", number), ["shard", "h", "doc_id"])
+    return placed.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], "size", "text_crc32", "shard", "slot")

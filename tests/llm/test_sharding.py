@@ -69,3 +69,13 @@ def test_few_or_no_groups(documents):
     assert sharding.shard(documents([]), shards=3).count() == 0
     got = sharding.shard(documents([(1, "a", "s"), (1, "a", "s"), (2, "b", "s")]), shards=9).collect()
     assert len(got) == 3 and len({r["shard"] for r in got}) == 2
+
+
+def test_documents_go_with_their_shards(documents, rows):
+    texts = [None, "", "é" * 30, "same", "same"] + [f"text {i} " * (i % 9 + 1) for i in range(100)]
+    docs = documents([(i, t, "s") for i, t in enumerate(texts)]).drop("shard")
+    want = rows(sharding.shard(docs, shards=5), "doc_id", "size", "text_crc32", "shard", "slot")
+    got = sharding.shard_documents(docs, shards=5)
+    assert got.columns == [*docs.columns, "size", "text_crc32", "shard", "slot"] and rows(got, "doc_id", "size", "text_crc32", "shard", "slot") == want
+    assert rows(got, "doc_id", "text", "kind", "node") == rows(docs, "doc_id", "text", "kind", "node")
+    assert sharding.shard_documents(docs.limit(0), shards=3).count() == 0
