@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy gets one of 40 shards of nearly equal bytes, and its slot there."""
-    return sharding.shard(docs, shards=40)
+    """Every copy, with its text, gets one of 40 shards of nearly equal bytes, and its slot there."""
+    return sharding.shard_documents(docs, shards=40)
 
 
 STAGES: list[tuple[str, Stage]] = [
