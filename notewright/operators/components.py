@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.storage import materialize
+from notewright.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     now = materialize(_distinct(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "components")
     while not _stars(now):
         half = materialize(_large_star(now), "components")
-        now = materialize(_distinct(_small_star(half)), "components")
+        then = materialize(_distinct(_small_star(half)), "components")
+        discard(now, half)
+        now = then
     return nodes.distinct().withColumnRenamed("u", "node").join(now.toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

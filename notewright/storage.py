@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
+#: Used only where the session names no spark.checkpoint.dir and all tasks run in the driver's process, as in local tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a local folder where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a local folder for a local master, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -44,4 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that no frame still to be computed reads, before the driver ends; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            drop_scratch(df.sparkSession, path)
