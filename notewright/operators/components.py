@@ -15,11 +15,22 @@ from pyspark.sql import functions as F
 from notewright.storage import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges in a written part: rounds over few edges, which are most rounds, are a handful of tasks whatever the shuffles' partitions.
+PART_EDGES = 200_000
+
+
+def _written(edges: DataFrame, n: int, name: str = "components") -> DataFrame:
+    """The edges, written in as many parts as n rows need."""
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 1 + n // PART_EDGES
+    return materialize(edges.coalesce(parts) if parts < most else edges, name)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each larger neighbour of a vertex is tied to the least of the vertex and its neighbours."""
     both = edges.union(edges.select("v", "u"))
     # Written first, so that the join below deals both sides anew and Spark can split a vertex of very many edges.
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = _written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n, "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -47,19 +58,23 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     if vertices is not None:
         nodes = nodes.union(vertices.select(vertices.columns[0]).where(F.col(vertices.columns[0]).isNotNull()))
     now = materialize(_distinct(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "components")
-    while not _stars(now):
-        half = materialize(_large_star(now), "components")
-        then = materialize(_distinct(_small_star(half)), "components")
+    while True:
+        n, stars = _stars(now)
+        if stars:
+            break
+        half = _written(_large_star(now, n), n)
+        then = _written(_distinct(_small_star(half)), n)
         discard(now, half)
         now = then
     return nodes.distinct().withColumnRenamed("u", "node").join(now.toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether the edges (larger to smaller) are stars around their least vertices: no vertex has two others below it, or one below and one above."""
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they (larger to smaller) are stars around their least vertices: no vertex has two others below it, or one below and one above."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
     each = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return each.agg(F.coalesce(F.max(F.col("below") + F.least("below", "above")), F.lit(0))).first()[0] <= 1
+    most, n = each.agg(F.coalesce(F.max(F.col("below") + F.least("below", "above")), F.lit(0)), F.coalesce(F.sum("below"), F.lit(0))).first()
+    return n, most <= 1
 
 
 def threshold_sweep(edges: DataFrame, vertices: DataFrame, thresholds: list[float]) -> DataFrame:
