@@ -15,8 +15,8 @@
    one: in a large group of near copies, TF-IDF makes what the copies share cheaper than their own
    edits, and would cut copies apart that share eight shingles of ten.
 5. Classes of several chunks are joined in two more steps: the best-linked texts of each class are
-   compared with all its chunks; then, exactly, in every bucket that still holds texts of several
-   components, those outside the bucket's largest one with all of the bucket, in blocks. So a text
+   compared with all its chunks; then, exactly, texts outside the largest component of a bucket with
+   all texts of that bucket: in blocks, each of which meets the texts of its buckets once. So a text
    meets what its bands bring it together with, never the whole of a class that buckets chain
    together. Only connectivity is needed: what is already joined is not compared again.
 
@@ -360,26 +360,29 @@ def _across(wide: DataFrame, edges: DataFrame, placed: DataFrame, idf: np.ndarra
     again = wide.select("class", "chunk", "node", "text").union(pivots.join(classes, "class").select("class", "chunk", "node", "text"))
     edges = materialize(edges.union(compare(again, ["class", "chunk"], idf, limit)), "neardup-edges")
     joined = materialize(connected_components(edges.where("u <> v").select("u", "v"), wide.select("node")), "neardup-joined").toDF("node", "component")
-    # Buckets that hold several components, and their texts outside the largest one of each.
+    # Buckets that hold several components, and their texts outside the largest one of each, dealt into blocks by class.
     size = F.octet_length("text").cast("long").alias("bytes")
-    bucket = F.xxhash64("band", "h").alias("bucket")
-    own = materialize(placed.select("node", bucket).join(wide.select("node", size), "node").join(joined, "node"), "neardup-buckets")
-    counts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("components > 1")
-    parts = lambda n, most, bytes_: F.greatest(F.ceil(n / F.lit(most)), F.ceil(bytes_ / F.lit(CHUNK_BYTES)))
-    mixed = materialize(mixed.select("bucket", F.col("top.component").alias("largest"), parts(F.col("n"), CHUNK, F.col("bytes")).alias("chunks")), "neardup-mixed")
-    if mixed.isEmpty():
+    own = materialize(placed.select("node", F.xxhash64("band", "h").alias("bucket")).join(wide.select("class", "node", size), "node").join(joined, "node"), "neardup-buckets")
+    counts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("top")).where("components > 1").select("bucket", F.col("top.component").alias("largest"))
+    apart = own.join(materialize(mixed, "neardup-mixed"), "bucket").where(F.col("component") != F.col("largest"))
+    apart = materialize(apart.select("class", "node", "bytes", "bucket"), "neardup-apart")
+    if apart.isEmpty():
         return joined
-    members = materialize(own.join(mixed, "bucket").select("bucket", "node", "bytes", "chunks", (F.col("component") != F.col("largest")).alias("apart")), "neardup-members")
-    blocks = members.where("apart").groupBy("bucket").agg(parts(F.count("*"), BLOCK, F.sum("bytes")).alias("blocks"))
-    members = members.join(blocks, "bucket")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = members.where("apart").select("bucket", "node", F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").alias("block"), upto("chunks").alias("chunk"))
-    right = members.select("bucket", "node", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), upto("blocks").alias("block"))
-    met = left.select("bucket", "chunk", "block", "node").union(right.select("bucket", "chunk", "block", "node")).distinct()
-    met = materialize(met, "neardup-met")  # the join deals its sides anew, so that Spark can split a text of many blocks
-    late = compare(wide.select("node", "text").join(met, "node"), ["bucket", "chunk", "block"], idf, limit).where("u <> v").select("u", "v")
-    late = materialize(late, "neardup-late")
+    parts = lambda n, most, bytes_: F.greatest(F.ceil(n / F.lit(most)), F.ceil(bytes_ / F.lit(CHUNK_BYTES)))
+    blocks = apart.select("class", "node", "bytes").distinct().groupBy("class").agg(parts(F.count("*"), BLOCK, F.sum("bytes")).alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(7), "node"), "blocks").alias("block")
+    left = apart.join(blocks, "class").select("class", block, "node", "bucket")
+    # What a block meets: all texts of its texts' buckets, each once, in chunks.
+    reached = left.select("block", "bucket").distinct().join(own.select("class", "node", "bytes", "bucket"), "bucket").select("class", "block", "node", "bytes").distinct()
+    reached = materialize(reached, "neardup-reached")
+    chunks = reached.groupBy("class", "block").agg(parts(F.count("*"), CHUNK, F.sum("bytes")).alias("chunks"))
+    right = reached.join(chunks, ["class", "block"]).select("class", "block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node")
+    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    again = left.select("class", "block", "node").distinct().join(chunks, ["class", "block"]).select("class", "block", upto, "node")
+    met = materialize(again.union(right).distinct(), "neardup-met")  # the join deals its sides anew, so that Spark can split a text of many blocks
+    texts = wide.select("node", "text").join(met, "node")
+    late = materialize(compare(texts, ["class", "chunk", "block"], idf, limit).where("u <> v").select("u", "v"), "neardup-late")
     # The late links join components that are known, so only their ends are walked again.
     ends = late.join(joined.toDF("u", "a"), "u").join(joined.toDF("v", "b"), "v").where("a <> b").select("a", "b").distinct()
     if ends.isEmpty():
