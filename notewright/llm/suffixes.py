@@ -31,6 +31,7 @@ null doc_id comes last.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -136,10 +137,10 @@ def contexts(texts: DataFrame) -> DataFrame:
                 begin, end = w.start[a:b].tolist(), w.end[a:b].tolist()
                 for j in np.flatnonzero(np.isin(h, matched.values.to_numpy())):
                     p, lo, hi = int(place[j]), int(place[j] - far[j]), int(place[j] - near[j]) + LEAST
-                    own = [raw[x:y] for x, y in zip(begin[lo:hi], end[lo:hi], strict=True)]
+                    own = raw[begin[lo] : end[hi - 1]].split()  # bytes.split(): \x20 and \x09-\x0D
                     steps = np.diff(edges[2 * lo : 2 * hi])
                     rows.append(i)
-                    out.append((int(h[j]), p, int(near[j]), int(far[j]), b" ".join(own[p - lo :]) + b" ", b"".join(x + b" " for x in own[p - lo - 1 :: -1]) if p > lo else b"", int(edges[2 * lo]), steps.astype(np.uint8 if steps.max() < 256 else np.int32).tobytes()))
+                    out.append((int(h[j]), p, int(near[j]), int(far[j]), b" ".join(own[p - lo :]) + b" ", b" ".join(own[p - lo - 1 :: -1]) + b" " if p > lo else b"", int(edges[2 * lo]), steps.astype(np.uint8 if steps.max() < 256 else np.int32).tobytes()))
             if out:
                 h, place, near, far, after, before, at, steps = zip(*out, strict=True)
                 own = pa.array(rows)
@@ -194,7 +195,9 @@ def _compared(rows: DataFrame, by: str, result: str) -> DataFrame:
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     order = ["h", by, "n1", "n2", "place"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, {result} int")
+    # A fixed number: by their compressed bytes, partitions of a very common passage would be put together although they hold very many rows.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, {result} int")
 
 
 WINDOWS = "w1 long, w2 long, n1 long, n2 long, rank {kind}, start int, a int, b int"
@@ -210,13 +213,15 @@ def matched_windows(rows: DataFrame) -> DataFrame:
             parts = []
             columns = [batch.column(c).to_pylist() for c in ("place", "low", "high", "farthest", "after", "before", "at", "steps")]
             for i, (place, low, high, far, after, before, at, steps) in enumerate(zip(*columns, strict=True)):
-                own = before.split(b" ")[-2::-1] + after.split(b" ")[:-1]
+                own = before.split()[::-1] + after.split()
+                line = b" ".join(own) + b" "
+                stops = list(accumulate(map(len, own), lambda a, n: a + n + 1, initial=0))
                 edges = np.frombuffer(steps, np.uint8 if len(steps) == 2 * len(own) - 1 else np.int32).astype(np.int64)
                 edges = at + np.concatenate(([0], np.cumsum(edges)))
                 k = far - np.arange(high, low - 1, -1)  # first words, among the row's own
                 counts[i] = len(k)
                 parts.append(np.stack([place - far + k, edges[2 * k], edges[2 * (k + LEAST) - 1]], axis=1))
-                digests += [xxhash.xxh3_128_digest(b" ".join(own[x : x + LEAST])) for x in k.tolist()]
+                digests += [xxhash.xxh3_128_digest(line[stops[x] : stops[x + LEAST]]) for x in k.tolist()]
             if digests:
                 taken = pa.array(np.repeat(np.arange(batch.num_rows), counts))
                 w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
