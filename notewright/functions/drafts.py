@@ -122,27 +122,34 @@ def rescue(raw: str) -> tuple[dict | None, str]:
     return (value, "python literal") if isinstance(value, dict) else (None, "not an object")
 
 
-def objects(answer: str) -> tuple[list[tuple[int, str]], bool]:
-    """(line, text) of each top-level {...} outside strings, and whether the answer breaks off inside one."""
-    out, depth, start, line, at_line, quote, skip = [], 0, 0, 1, 1, "", False
-    for i, c in enumerate(answer):
-        line += c == "\n"
-        if skip:
-            skip = False
-        elif quote:
-            skip = c == "\\"
-            quote = "" if c == quote else quote
-        elif depth and c == '"':
-            quote = c
-        elif c == "{":
-            if not depth:
-                start, at_line = i, line
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append((at_line, answer[start : i + 1]))
-    return out, depth > 0
+#: What matters to the search for objects: braces, and strings as wholes; a quote that never closes takes the rest.
+MARKS = re.compile(r'[{}]|"(?:[^"\\]|\\.)*(?:"|\Z)', re.S)
+
+
+def objects(answer: str) -> tuple[list[tuple[int, str]], bool, list[tuple[int, str]]]:
+    """(line, text) of each top-level {...} outside strings, whether the answer breaks off inside one, and (line, text) of
+    the lines that say something else. Quotes outside objects are text, and a closing brace there too."""
+    out: list[tuple[int, int]] = []
+    opened: list[int] = []
+    at = 0
+    while m := MARKS.search(answer, at):
+        at = m.end()
+        if m[0] == "{":
+            opened.append(m.start())
+        elif m[0] == "}" and opened:
+            start = opened.pop()
+            if not opened:
+                out.append((start, at))
+        elif m[0][0] == '"' and not opened:
+            at = m.start() + 1
+    spans = [*out, (opened[0], len(answer))] if opened else out
+    rest, at = [], 0
+    for a, b in spans:
+        rest.append(answer[at:a] + re.sub(r"[^\n]", "", answer[a:b]))
+        at = b
+    rest.append(answer[at:])
+    left = [(n, line.strip()) for n, line in enumerate("".join(rest).split("\n"), 1) if line.strip()]
+    return [(answer.count("\n", 0, a) + 1, answer[a:b]) for a, b in out], bool(opened), left
 
 
 def _alias(groups: dict) -> dict[str, str]:
@@ -186,7 +193,7 @@ def read_answers(runs: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for run, answer, text in zip(f["run_id"], f["answer"], f["text"], strict=True):
-                found, broken = objects(answer or "")
+                found, broken, _ = objects(answer or "")
                 for seq, (line, raw) in enumerate(found):
                     value, how = rescue(raw)
                     body = None if value is None else json.dumps({str(k): v if isinstance(v, str) else json.dumps(v) for k, v in value.items() if v is not None})
@@ -202,6 +209,18 @@ def read_answers(runs: DataFrame) -> DataFrame:
 ACTIONS = ("entity", *DEPENDENT, "unclear")
 
 
+def leftover_lines(runs: DataFrame) -> DataFrame:
+    """run_id, line, said: the lines of each answer that are part of no object, for a reviewer to see."""
+    kind = runs.schema["run_id"].dataType.simpleString()
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(run, line, said) for run, answer in zip(f["run_id"], f["answer"], strict=True) for line, said in objects(answer or "")[2]]
+            yield pd.DataFrame(rows, columns=["run_id", "line", "said"])
+
+    return runs.select("run_id", "answer").mapInPandas(cut, f"run_id {kind}, line int, said string")
+
+
 def queue_snapshot(candidates: DataFrame, docs: DataFrame, seen: DataFrame) -> DataFrame:
     """candidate_key, state (ready, needs_attention, duplicate, refused), reason, start, end of a snapshot of candidates.
 

@@ -127,6 +127,33 @@ def undo(log: DataFrame, action: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.unionByName(restored), refused
 
 
+def freeze_refusals(reviews: DataFrame, entities: DataFrame, drafts: DataFrame) -> DataFrame:
+    """K6: claim, reviewer, refused: why a review can't be frozen, the first reason of several; null if it can, or is frozen already.
+
+    reviews: claim, reviewer, frozen, exposed (the firm's output was seen), complete (all notes are done),
+    attested. entities: claim, reviewer, reviewed. drafts: claim, reviewer, status.
+    """
+    key = ["claim", "reviewer"]
+    open_ = entities.where("not reviewed").select(*key).distinct().withColumn("__entity", F.lit(True))
+    left = drafts.where("status in ('ready', 'needs_attention')").select(*key).distinct().withColumn("__draft", F.lit(True))
+    why = (
+        F.when(F.col("frozen"), None)
+        .when(F.col("exposed"), "seen before")
+        .when(~F.col("complete"), "notes are open")
+        .when(F.col("__entity"), "entities are not reviewed")
+        .when(F.col("__draft"), "drafts are open")
+        .when(~F.col("attested"), "not attested")
+    )
+    return reviews.join(open_, key, "left").join(left, key, "left").select(*key, why.alias("refused"))
+
+
+def freeze(reviews: DataFrame, entities: DataFrame, drafts: DataFrame, records: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """K6: (records of the reviews that may be frozen, as they are now, seals: claim, reviewer, frozen_at). Write the first once and never again."""
+    good = freeze_refusals(reviews, entities, drafts).where("refused is null").join(reviews.where("not frozen").select("claim", "reviewer"), ["claim", "reviewer"], "left_semi")
+    seals = good.select("claim", "reviewer", at.alias("frozen_at"))
+    return records.join(seals, ["claim", "reviewer"]), seals
+
+
 def replace_documents(old: DataFrame, new: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The old rows of other documents and the new rows: ingesting a document again leaves no trace of its first time."""
     return old.join(docs.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +59,55 @@ def resolve(docs: DataFrame, mentions: DataFrame, typed: bool = False) -> DataFr
     )
 
 
+Clusters = Callable[[list[str]], list[list[list[tuple[int, int]]]]]
+
+
+def cluster_links(text: str, clusters: list[list[tuple[int, int]]], mentions: list[tuple[int, int, str]]) -> list[tuple]:
+    """(start, end, surface, antecedent's surface, start, end, class, kind) of each later member of a cluster: its first one is the antecedent,
+    whose class is that of the first mention around it."""
+    pronouns = {p for g in values.PRONOUNS.values() for p in g}
+    out = []
+    for first, *rest in (sorted(c) for c in clusters if len(c) > 1):
+        kind = next((label for s, e, label in mentions if s <= first[0] and first[1] <= e), None)
+        out += [(a, b, text[a:b], text[first[0] : first[1]], *first, kind, "pronoun" if text[a:b].lower() in pronouns else "descriptor") for a, b in rest]
+    return sorted(out, key=lambda x: x[:2])
+
+
+def resolve_by_model(docs: DataFrame, mentions: DataFrame, predict: Clusters) -> DataFrame:
+    """As resolve(), by a model that answers clusters of spans for a batch of texts; confidence 0.9."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("known"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = [t or "" for t in f["text"]]
+            rows = []
+            for d, t, clusters, known in zip(f["doc_id"], texts, predict(texts), f["known"], strict=True):
+                around = [(m["start"], m["end"], m["label"]) for m in known] if known is not None else []
+                rows += [(d, *link, 0.9) for link in cluster_links(t, clusters, around)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "surface", "antecedent_surface", "antecedent_start", "antecedent_end", "antecedent_class", "kind", "confidence"])
+
+    schema = f"doc_id {kind}, start int, end int, surface string, antecedent_surface string, antecedent_start int, antecedent_end int, antecedent_class string, kind string, confidence double"
+    return docs.select("doc_id", "text").join(own, "doc_id", "left").mapInPandas(run, schema)
+
+
+def resolver(name: str, load: Callable[[], Clusters] | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """I3: "rules", "model" (an error if it can't be loaded), or "auto": the model if it loads, else rules."""
+    if name not in ("rules", "model", "auto"):
+        raise ValueError(f"unknown resolver {name}")
+    if name == "rules":
+        return resolve
+    try:
+        if load is None:
+            raise LookupError("no model to load")
+        predict = load()
+    except Exception:
+        if name == "model":
+            raise
+        return resolve
+    return lambda docs, mentions: resolve_by_model(docs, mentions, predict)
+
+
 def view(text: str, links: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int]]]:
     """I4: the text with each link (start, end, antecedent) replaced, and checkpoints (offset there, offset here)."""
     out, marks, raw, size = [], [], 0, 0

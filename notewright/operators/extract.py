@@ -38,14 +38,55 @@ NO_NAMES = frozenset(
     "Following Per Client Records Desk Re See Kindly We Confidentiality Notice This If You The Status Available Mon Tue Wed Thu Fri Sat Sun Jan Feb Mar Apr May Jun "
     "Jul Aug Sep Oct Nov Dec Law Group Department Claims Notify Sender Delete Message Intended Recipient Sole Use Attachments POA NPI TIN DOB".split()
 )
-WORD = r"[A-Z][a-zA-Z'’\-]+"
-GAP = r"[ \t]+"
-SHAPES = (
-    (re.compile(rf"\bDr\.?{GAP}{WORD}(?:{GAP}{WORD}){{0,2}}"), "medical_provider", 0.9),
-    (re.compile(rf"\b{WORD},{GAP}{WORD}(?:{GAP}(?:Jr|Sr|II|III))?"), "person", 0.85),
-    (re.compile(rf"\b[A-Z]\.{GAP}{WORD}\b"), "person", 0.7),
-    (re.compile(rf"\b{WORD}(?:{GAP}{WORD}){{1,3}}(?:{GAP}(?:Jr|Sr|II|III))?\b"), "", 0.75),
-)
+# The forms of names, with the label (none: it depends on the words) and the score of each.
+FORMS = {"titled": ("medical_provider", 0.9), "reversed": ("person", 0.85), "initial": ("person", 0.7), "sequence": ("", 0.75)}
+# What may stand behind a name, and the most words of a title's name and of a sequence.
+SUFFIXES = frozenset(["Jr", "Sr", "II", "III"])
+TITLED_WORDS, SEQUENCE_WORDS = 3, 4
+#: Words in capitals at their start, single capitals with a dot, commas, blanks on a line, and all else.
+LEXEME = re.compile(r"(?P<W>[A-Z][A-Za-z'’-]++(?!\w))|(?P<I>[A-Z]\.)|(?P<C>,)|(?P<S>[ \t]+)|(?P<X>\w+|[^\w])")
+
+
+class Lexemes:
+    """A text cut into lexemes, and the words that follow one another in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [(m.lastgroup, m.start(), m.end()) for m in LEXEME.finditer(text)]
+        self.kind = "".join(k for k, _, _ in found)
+        self.start = [a for _, a, _ in found]
+        self.end = [b for _, _, b in found]
+
+    def word(self, i: int) -> str:
+        return self.text[self.start[i] : self.end[i]]
+
+    def run(self, i: int, most: int) -> int:
+        """The last word of a run of at most `most` words, a blank between each two, that begins at word i."""
+        for _ in range(most - 1):
+            if self.kind[i + 1 : i + 3] != "SW":
+                break
+            i += 2
+        return i
+
+    def with_suffix(self, i: int) -> int:
+        return i + 2 if self.kind[i + 1 : i + 3] == "SW" and self.word(i + 2) in SUFFIXES else i
+
+    def form(self, name: str, i: int) -> int:
+        """The last lexeme of a name of that form that begins at lexeme i; -1 if there is none."""
+        if name == "initial":
+            return i + 2 if self.kind[i : i + 3] == "ISW" else -1
+        if self.kind[i] != "W":
+            return -1
+        if name == "reversed":
+            return self.with_suffix(i + 3) if self.kind[i : i + 4] == "WCSW" else -1
+        if name == "titled":
+            if self.word(i) != "Dr":
+                return -1
+            dot = self.kind[i + 1 : i + 2] == "X" and self.word(i + 1) == "."
+            first = i + 2 + dot
+            return self.run(first, TITLED_WORDS) if self.kind[first - 1 : first + 1] == "SW" else -1
+        last = self.run(i, SEQUENCE_WORDS)
+        return self.with_suffix(last) if last > i else -1
 
 
 def role_of(context: str) -> str | None:
@@ -53,25 +94,45 @@ def role_of(context: str) -> str | None:
     return next((role for role, cues in values.ROLE_CUES if any(c in low for c in cues)), None)
 
 
+def _sequence_label(words: list[str], context: str) -> str:
+    if any(w.startswith(e) for w in words[1:] for e in ORG_ENDINGS) or any(words[-1].endswith(e) for e in ORG_ENDINGS):
+        return "organization"
+    return role_of(context) or "person"
+
+
 def name_spans(text: str) -> Found:
-    """Name-shaped spans: titled, last-first, initial, and sequences of capitalised words; a span within a longer one goes."""
-    best: dict[tuple[int, int], tuple[str, float]] = {}
-    for shape, label, score in SHAPES:
-        for m in shape.finditer(text):
-            start, end = m.span()
-            while (w := re.match(r"(\S+)[ \t]+(?=\S)", text[start:end])) and w[1] in OPENERS:
-                start += w.end()
-            surface = text[start:end]
-            words = [w for w in (t.strip(".") for t in re.split(r"[\s,]+", surface)) if w.isalpha()]
-            if not surface or ANAPHOR.fullmatch(surface) or (words and all(w in NO_NAMES for w in words)):
+    """Name-shaped spans, by their place: titled, surname first, initial, and sequences of capitalised words.
+
+    Each form reads the text once from the left without overlap. Words that open sentences are
+    taken off the front; anaphors and names of nothing but common words go, and so does a span inside
+    a longer one. Of forms that agree in a span the one with the highest score counts.
+    """
+    lex = Lexemes(text)
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for name, (label, score) in FORMS.items():
+        i = 0
+        while i < len(lex.kind):
+            last = lex.form(name, i)
+            if last < 0:
+                i += 1
                 continue
-            own = label
-            if not own:
-                own = "organization" if any(surface.endswith(e) or f" {e}" in surface for e in ORG_ENDINGS) else role_of(text[max(0, m.start() - 40) : m.start()]) or "person"
-            if score > best.get((start, end), ("", 0.0))[1]:
-                best[start, end] = (own, score)
-    spans = [(a, b, *v) for (a, b), v in sorted(best.items())]
-    return [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[1] - o[0] > s[1] - s[0] for o in spans)]
+            first = i
+            while first < last and lex.kind[first : first + 2] == "WS" and lex.word(first) in OPENERS:
+                first += 2
+            span = lex.start[first], lex.end[last]
+            words = [lex.word(j).rstrip(".") for j in range(first, last + 1) if lex.kind[j] in "WI"]
+            plain = [w for w in words if w.isalpha()]
+            if not ANAPHOR.fullmatch(text[span[0] : span[1]]) and not (plain and NO_NAMES.issuperset(plain)):
+                own = label or _sequence_label(words, text[max(0, lex.start[i] - 40) : lex.start[i]])
+                best[span] = max(best.get(span, (0.0, "")), (score, own))
+            i = last + 1
+    out: Found = []
+    reached = -1
+    for a, b in sorted(best, key=lambda s: (s[0], -s[1])):  # the longest first, so what ends no later than others before it lies inside one
+        if b > reached:
+            out.append((a, b, best[a, b][1], best[a, b][0]))
+            reached = b
+    return out
 
 
 def names_lane(texts: list[str]) -> list[Found]:
@@ -99,6 +160,57 @@ def located(items: list[dict], text: str) -> Found:
     return out
 
 
+#: What a model has to answer for a text: a JSON schema.
+SPAN_SCHEMA = {
+    "type": "object",
+    "required": ["entities"],
+    "properties": {
+        "entities": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "required": ["text", "label"],
+                "properties": {"text": {"type": "string"}, "label": {"type": "string"}, "start": {"type": "integer"}, "confidence": {"type": "number"}},
+            },
+        }
+    },
+}
+
+
+def chosen(name: str, makers: dict[str, Callable[[], Provider]]) -> Provider:
+    """The provider of that name. An unknown name and a model that can't be made are errors: nothing takes its place."""
+    if name not in makers:
+        raise ValueError(f"unknown lane {name}; there are {', '.join(sorted(makers))}")
+    try:
+        return makers[name]()
+    except Exception as e:
+        raise NoModel(f"lane {name}: {type(e).__name__}: {e}") from e
+
+
+def span_model(predict: Callable[[list[str], list[str]], list[list[dict]]], labels: list[str], least: float = 0.5) -> Provider:
+    """A provider of a model that answers, for a batch of texts and the labels wanted, dicts of start, end, label and score."""
+
+    def run(texts: list[str]) -> list[Found]:
+        return [[(int(s["start"]), int(s["end"]), str(s["label"]), float(s["score"])) for s in found if s["score"] >= least and 0 <= s["start"] < s["end"] <= len(t)] for t, found in zip(texts, predict(texts, labels), strict=True)]
+
+    return run
+
+
+def schema_model(ask: Callable[[list[str], dict], list[dict | None]]) -> Provider:
+    """A provider of a model that answers a batch of texts in SPAN_SCHEMA. Answers out of it count as empty; surfaces are
+    located, never taken at the model's offsets; anaphors are no names."""
+
+    def run(texts: list[str]) -> list[Found]:
+        out = []
+        for t, answer in zip(texts, ask(texts, SPAN_SCHEMA), strict=True):
+            items = answer.get("entities") if isinstance(answer, dict) else None
+            good = [i for i in items or [] if isinstance(i, dict) and str(i.get("text") or "").strip() and not ANAPHOR.fullmatch(str(i["text"]).strip())]
+            out.append(located([i | {"text": str(i["text"]).strip(), "start": i["start"] if isinstance(i.get("start"), int) else 0} for i in good], t))
+        return out
+
+    return run
+
+
 SPANS = "start int, end int, text string, label string, extractors array<string>, score double, description string"
 
 
@@ -177,6 +289,20 @@ def promote(candidates: DataFrame, hits: DataFrame | None = None, structure_only
     return c.withColumn("label", label).where("label is not null").select("doc_id", "start", "end", "text", "label")
 
 
+def bind_identifiers(hits: DataFrame, told: DataFrame) -> DataFrame:
+    """The hits with the owner that a model names for each, and method (named or unbound). Hits without one stay.
+
+    hits: doc_id, kind, value and more. told: doc_id, kind, value, owner, as a model answered, so a value is
+    compared by its letters and digits alone (phones by their last ten digits) and a hit that several
+    owners are named for takes the least.
+    """
+    plain = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
+    key = F.when(F.col("kind") == "phone", F.right(plain, F.lit(10))).otherwise(plain).alias("__key")
+    owners = told.where("owner is not null and owner <> ''").select("doc_id", "kind", key, "owner").groupBy("doc_id", "kind", "__key").agg(F.min("owner").alias("owner"))
+    out = hits.select("*", key).join(owners, ["doc_id", "kind", "__key"], "left").drop("__key")
+    return out.withColumn("method", F.when(F.col("owner").isNull(), "unbound").otherwise("named"))
+
+
 def relations(raw: DataFrame) -> DataFrame:
     """Accepted and refused relations of a provider: predicate (folded), refused (reason or null), descriptor flags, polarity.
 
