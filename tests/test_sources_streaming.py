@@ -100,8 +100,17 @@ def test_backfill_ingest_and_stream(spark, tmp_path):
     assert sorted(seen) == [(3, "grew"), (7, "created")]
 
 
-def test_duplicates_across_batches(spark):
-    prior = spark.createDataFrame([("s1", "g1", "d1")], "segment_id string, dup_group_id string, digest string")
-    new = spark.createDataFrame([("n1", "d1"), ("n2", "d2"), ("n3", "d2")], "segment_id string, digest string")
-    got = sorted(tuple(r) for r in ingest.recognise_duplicates(prior, new).collect())
-    assert got == [("n1", "g1", 0), ("n2", "n2", 1), ("n3", "n2", 0)]
+def test_duplicates_across_batches(spark, tmp_path):
+    """Near copies of stored segments take their groups, also in a third batch; other near copies have groups of their own."""
+    store = ingest.Store(spark, f"file://{tmp_path}/segments")
+    words = lambda c, n=40: [f"{c}{i}" for i in range(n)]
+    near = lambda c, k: " ".join([*words(c)[:k], "new", *words(c)[k + 1 :]])
+    rows = lambda *xs: spark.createDataFrame([(i, n, 0, t) for n, (i, t) in enumerate(xs)], "segment_id string, order int, char_start int, text string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    first = ingest.recognise_duplicates(store, rows(("s1", " ".join(words("a"))), ("s2", "too short"), ("s3", "too short")))
+    assert got(first) == [("s1", "s1", 1), ("s2", "s2", 1), ("s3", "s3", 1)]
+    second = ingest.recognise_duplicates(store, rows(("n1", near("a", 0)), ("n2", " ".join(words("b"))), ("n3", near("b", 39)), ("n4", None)))
+    assert got(second) == [("n1", "s1", 0), ("n2", "n2", 1), ("n3", "n2", 0), ("n4", "n4", 1)]
+    third = ingest.recognise_duplicates(store, rows(("t1", near("b", 0)), ("t2", near("a", 39)), ("n1", near("a", 0))))
+    assert got(third) == [("n1", "s1", 0), ("t1", "n2", 0), ("t2", "s1", 0)]
+    assert store.read("segments").count() == 9
