@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,12 +126,18 @@ def jaro_winkler_value(a: str, b: str, mode: str = "plain") -> float:
     return j + prefix * 0.1 * (1 - j)
 
 
+@lru_cache(1 << 16)
+def remembered_jaro_winkler(a: str, b: str, mode: str) -> float:
+    """Blocked pairs repeat the same few names over and over, so a worker remembers so many pairs of them."""
+    return jaro_winkler_value(a, b, mode)
+
+
 def jaro_winkler(mode: str = "plain"):
     """B4 as an Arrow UDF of two strings; null if either is."""
 
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else jaro_winkler_value(x, y, mode) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([None if x is None or y is None else remembered_jaro_winkler(x, y, mode) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return run
 
@@ -141,7 +149,7 @@ def token_set_value(a: list[str], b: list[str]) -> float:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     rest, total = list(large), 0.0
     for t in small:
-        scores = [jaro_winkler_value(t, u) for u in rest]
+        scores = [remembered_jaro_winkler(t, u, "plain") for u in rest]
         best = scores.index(max(scores))
         total += scores[best]
         rest.pop(best)

@@ -208,10 +208,11 @@ CASED_WORD = r"[A-Za-z][A-Za-z'’\-]+"
 
 def casing(text: Column) -> Column:
     """Struct of regime, case_informative, n_words, upper_frac, capitalized_frac, lower_frac (rounded to 4)."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CASED_WORD), F.lit(0))
-    n = F.size(words)
-    share = lambda pattern: F.when(n == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: w.rlike(pattern))) / n)
-    upper, cap, lower = share("^[^a-z]+$"), share("^[A-Z]"), share("^[^A-Z]+$")
+    # A word begins at the first letter of a run of letters, apostrophes and hyphens; each kind is counted by one search.
+    count = lambda pattern: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"(?<![A-Za-z'’\-])['’\-]*{pattern}(?![A-Za-z'’\-])"))
+    n = count(r"[A-Za-z][A-Za-z'’\-]+")
+    share = lambda pattern: F.when(n == 0, 0.0).otherwise(count(pattern) / n)
+    upper, cap, lower = share(r"[A-Z][A-Z'’\-]+"), share(r"[A-Z][A-Za-z'’\-]+"), share(r"[a-z][a-z'’\-]+")
     regime = F.when(n < 12, "sparse").when(upper >= 0.60, "upper").when(cap <= 0.02, "lower").otherwise("mixed")
     return F.struct(
         regime.alias("regime"),

@@ -116,10 +116,13 @@ GENERIC = ("person", "organization")
 def union_list(spans: list[tuple]) -> list[list]:
     """Merge (start, end, text, label, extractors, score, description) of one document; see union_spans."""
     out: list[list] = []
+    near: list[list] = []  # survivors that end behind the current start: later spans can overlap no others
     for s, e, text, label, extractors, score, about in sorted(spans, key=lambda x: (x[0], x[0] - x[1])):
-        own = next((m for m in out if s < m[1] and m[0] < e), None)
+        near = [m for m in near if s < m[1]]
+        own = next((m for m in near if m[0] < e), None)
         if own is None:
             out.append([s, e, text, label, set(extractors), score, about])
+            near.append(out[-1])
             continue
         special = label not in GENERIC
         if e - s > own[1] - own[0]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions import contact, names
+from notewright.storage import materialize
 
 # Blocking rules; a pair is credited to the first that proposes it, so new ones are appended.
 BLOCKING = (
@@ -252,21 +253,26 @@ def estimate_prior(frame: DataFrame, rules: tuple = PRIOR_RULES, recall: float =
 
 
 def estimate_u(frame: DataFrame, most_pairs: int = 2_000_000, seed: int = 7) -> dict[str, list[float]]:
-    """H6: level frequencies over pairs drawn at random: mentions in random order, each with the next few.
+    """H6: level frequencies over all pairs of mentions drawn at random.
 
-    most_pairs is the sample's documented bound; frames with fewer pairs take all shifts they have.
+    most_pairs is the sample's documented bound: as many mentions are drawn first as make so many
+    pairs (2,000 for 2 million), so no pair is made to be thrown away, whatever the frame's size. The draw is by
+    a hash of the mention, so it is the same again.
     """
     n = frame.count()
     if n < 2:
         raise ValueError("u needs two mentions")
-    shifts = max(1, min(n - 1, most_pairs // n))
-    ordered = frame.withColumn("__h", F.xxhash64("mention_id", F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(max(1, n // 200))))
-    left = ordered.select("mention_id", "__h", "__b").toDF("id_l", "hl", "__b")
-    right = ordered.select("mention_id", "__h", "__b").toDF("id_r", "hr", "__b")
-    pairs = left.join(right, "__b").where("hl < hr").select("id_l", "id_r", "__b")
-    rate = min(1.0, n * shifts / max(1, n * 100))
-    levels = gammas(paired(pairs.where(F.pmod(F.xxhash64("id_l", "id_r"), F.lit(1000)) < rate * 1000).drop("__b"), frame))
-    return _frequencies(levels)
+    drawn = 1 + math.isqrt(2 * most_pairs)
+    own = frame
+    if n > drawn:
+        by = F.xxhash64("mention_id", F.lit(seed))
+        bound = int(-(2**63) + 2**64 * min(1.0, (drawn + 4 * math.sqrt(drawn)) / n))
+        # A few more than wanted pass the bound; the first of them by the hash are taken.
+        own = frame.withColumn("__h", by).where(F.col("__h") < F.lit(min(bound, 2**63 - 1))).orderBy("__h", "mention_id").limit(drawn).drop("__h")
+    own = materialize(own, "u-sample")
+    ids = own.select("mention_id")
+    pairs = ids.toDF("id_l").join(F.broadcast(ids.toDF("id_r")), F.col("id_l") < F.col("id_r"))  # drawn rows at most
+    return _frequencies(gammas(paired(pairs, own)))
 
 
 def _frequencies(levels: DataFrame) -> dict[str, list[float]]:
@@ -279,11 +285,13 @@ def _frequencies(levels: DataFrame) -> dict[str, list[float]]:
     return out
 
 
-def patterns(levels: DataFrame) -> list[tuple[dict[str, int], int]]:
-    """H7: the distinct vectors of levels and how many pairs have each: at most the product of the levels' numbers, whatever the data."""
+def patterns(levels: DataFrame, by: str) -> dict[int, list[tuple[dict[str, int], int]]]:
+    """H7: for each value of `by`, the distinct vectors of levels and how many pairs have each: at most the product of the levels' numbers, whatever the data."""
     present = [c for c in levels.columns if c.startswith("gamma_")]
-    rows = levels.groupBy(*present).count().collect()
-    return [({c.removeprefix("gamma_"): r[c] for c in present}, r["count"]) for r in rows]
+    out: dict[int, list[tuple[dict[str, int], int]]] = {}
+    for r in levels.groupBy(by, *present).count().collect():
+        out.setdefault(r[by], []).append(({c.removeprefix("gamma_"): r[c] for c in present}, r["count"]))
+    return out
 
 
 def expectation_maximisation(counts: list[tuple[dict[str, int], int]], u: dict[str, list[float]], prior: float, fixed: frozenset[str] = frozenset(), rounds: int = 25) -> tuple[dict[str, list[float]], dict[str, list[bool]]]:
@@ -321,14 +329,19 @@ def train(frame: DataFrame, least_pairs: int = 20) -> Model:
 
     A level that no pass reached keeps a default and is marked, so that scores that use it say so.
     """
+    frame = materialize(frame, "train-frame")
     prior = estimate_prior(frame).first()["prior"] or 1e-4
     u = estimate_u(frame)
     runs: list[dict[str, list[float]]] = []
     seen: dict[str, list[bool]] = {c: [False] * len(v) for c, v in u.items()}
-    for rule, held in PASSES:
-        if any(c not in frame.columns for c in rule):
-            continue
-        counts = patterns(gammas(paired(block(frame, (rule,)), frame)))
+    passes = [(rule, held) for rule, held in PASSES if all(c in frame.columns for c in rule)]
+    blocked = None  # the pairs of all passes, whose patterns one job counts
+    for i, (rule, _) in enumerate(passes):
+        own = block(frame, (rule,)).select("id_l", "id_r", F.lit(i).alias("pass"))
+        blocked = own if blocked is None else blocked.union(own)
+    found = patterns(gammas(paired(blocked, frame)), "pass") if passes else {}
+    for i, (_, held) in enumerate(passes):
+        counts = found.get(i, [])
         if sum(n for _, n in counts) < least_pairs:
             continue
         m, own = expectation_maximisation(counts, u, prior, frozenset(held))
@@ -361,10 +374,15 @@ def materialise(components: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity_id, canonical_name, entity_class, n_mentions: one row per component.
 
     components: node, component. mentions: mention_id, surface, entity_class, position. The id is a
-    hash of the sorted members, so the same members give the same id.
+    digest of the members that doesn't depend on their order (120 bits of the exclusive or of their hashes, their
+    number and the least of them), so the same members give the same id and a component of any size
+    is aggregated, never gathered.
     """
     own = components.join(mentions.withColumnRenamed("mention_id", "node"), "node")
-    ids = own.groupBy("component").agg(F.concat(F.lit("E"), F.substring(F.sha1(F.concat_ws(",", F.array_sort(F.collect_list(F.col("node").cast("string"))))), 1, 12)).alias("entity_id"), F.count("*").alias("n_mentions"))
+    digest = F.md5(F.col("node").cast("string"))
+    half = lambda at: F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"))
+    members = own.groupBy("component").agg(half(1).alias("x"), half(16).alias("y"), F.count("*").alias("n_mentions"), F.min("node").alias("least"))
+    ids = members.select("component", "n_mentions", F.concat(F.lit("E"), F.substring(F.sha1(F.concat_ws(":", "x", "y", "n_mentions", "least")), 1, 12)).alias("entity_id"))
     name = majority(own, "component", "surface", "position").withColumnRenamed("surface", "canonical_name")
     kind = majority(own, "component", "entity_class", "position")
     return ids.join(name, "component").join(kind, "component").select("entity_id", "canonical_name", "entity_class", "n_mentions")
