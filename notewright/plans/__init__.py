@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from notewright.plans import annotate, evaluate, generators, graph, linkage, local, relational, retrieve, scalars  # noqa: F401
+    from notewright.plans import annotate, evaluate, further, generators, graph, linkage, local, relational, retrieve, scalars  # noqa: F401

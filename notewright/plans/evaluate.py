@@ -112,7 +112,11 @@ def e17(spark, sf_dir):
     return a.select("stage", "n_found", F.round("recall", 9).alias("recall"), F.round("lift", 9).alias("lift"), "newly_rescued", "newly_lost")
 
 
-@query("e18_literal_recall")
+@query(
+    "e18_literal_recall",
+    """SELECT kind, count(*) AS total, count(*) FILTER (pos < doc_id % 60 AND doc_id % 60 > 0) AS hits, count(*) FILTER (pos < doc_id % 60 AND doc_id % 60 > 0) / count(*) AS recall
+FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, instr(text, substr(text, 41, 10)) - 1 AS pos FROM documents WHERE length(text) >= 60) GROUP BY kind""",
+)
 def e18(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("length(text) >= 60")
     values = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("kind"), F.substring("text", 41, 10).alias("value"))
@@ -229,8 +233,8 @@ def j12(spark, sf_dir):
     return evaluate.contamination(i.select("item", F.col("pred").alias("component")), i.select("item", "gold"), F.lit(5))
 
 
-@query("i02_label_quality", "SELECT quality, toxic, count(*) AS n, avg(length(text)) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")
-def i02(spark, sf_dir):
+@query("e10_label_quality", "SELECT quality, toxic, count(*) AS n, avg(length(text)) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")
+def e10_quality(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars"))
 
 

@@ -34,10 +34,12 @@ def d16(spark, sf_dir):
     return vectors.search(vecs(spark, sf_dir), QUERY, 10, F.col("class").isin(1, 2, 3)).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("e32_calibration", f"SELECT round(tmin, 6) AS true_min, round(t[len(t) // 2 + 1], 6) AS true_median, round(fmax, 6) AS false_max, round(tmin - fmax, 6) AS margin FROM (SELECT min(s) FILTER (same) AS tmin, list_sort(list(s) FILTER (same)) AS t, max(s) FILTER (NOT same) AS fmax FROM (SELECT {COS} AS s, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 10 = 0 AND b.vec_id % 10 = 0))")
+@query("e32_calibration", f"SELECT round(tmin, 6) AS true_min, round(t[len(t) // 2 + 1], 6) AS true_median, round(fmax, 6) AS false_max, round(tmin - fmax, 6) AS margin FROM (SELECT min(s) FILTER (same) AS tmin, list_sort(list(s) FILTER (same)) AS t, max(s) FILTER (NOT same) AS fmax FROM (SELECT {COS} AS s, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON b.vec_id - a.vec_id BETWEEN 1 AND 10))")
 def e32(spark, sf_dir):
-    v = vecs(spark, sf_dir).where("vec_id % 10 = 0")  # the labelled set
-    pairs = v.toDF("a", "ca", "va").join(v.toDF("b", "cb", "vb"), F.col("a") < F.col("b"))
+    v = vecs(spark, sf_dir)
+    # Labelled pairs: each vector with the ten after it.
+    near = v.toDF("a", "ca", "va").withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 10)))
+    pairs = near.join(v.toDF("b", "cb", "vb"), "b")
     c = vectors.calibrate(pairs.select(vectors.cosine(F.col("va"), F.col("vb")).alias("similarity"), (F.col("ca") == F.col("cb")).alias("same")))
     return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
 
@@ -47,7 +49,14 @@ def f11(spark, sf_dir):
     return vectors.upper_median(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice").toDF("key", "value")
 
 
-@query("h15_embedding_buckets")
+KNN_SQL = f"(SELECT vec_id, other, s FROM (SELECT a.vec_id, b.vec_id AS other, {COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE s >= 0.29 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) <= 5)"
+
+
+@query(
+    "h15_embedding_buckets",
+    f"""WITH RECURSIVE k AS {KNN_SQL}, e AS (SELECT vec_id AS u, other AS v FROM k UNION SELECT other, vec_id FROM k), r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, e.v FROM r JOIN e ON r.root = e.u),
+c AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT node AS vec_id, CASE WHEN count(*) OVER (PARTITION BY component) BETWEEN 2 AND 60 THEN 'EB' || CAST(component AS VARCHAR) END AS emb_bucket FROM c""",
+)
 def h15(spark, sf_dir):
     return vectors.embedding_buckets(vecs(spark, sf_dir), 5, 0.29)
 
@@ -119,7 +128,16 @@ def d14(spark, sf_dir):
     return s.select("entity_id", "other", F.array_join("shared", ",").alias("shared"), "degree")
 
 
-@query("h21_graph_build")
+@query(
+    "h21_graph_build",
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey % 100 AS claim, o_custkey % 10 AS occ, o_custkey % 5 AS role, o_custkey % 700 AS ent, o_custkey % 300 AS phone, o_orderkey % 3 > 0 AS owned, o_orderkey % 2 = 0 AS valid FROM orders),
+first AS (SELECT claim, arg_min(CAST(ent AS VARCHAR), CAST(k AS VARCHAR)) AS claimant FROM o WHERE role = 0 GROUP BY claim),
+v AS (SELECT DISTINCT 'ent:' || CAST(ent AS VARCHAR) AS id, CASE WHEN role = 3 THEN 'organization' ELSE 'party' END AS kind FROM o UNION SELECT 'claim:' || CAST(claim AS VARCHAR), 'claim' FROM o UNION SELECT 'occ:' || CAST(occ AS VARCHAR), 'occurrence' FROM o UNION SELECT 'id:' || CAST(phone AS VARCHAR), 'identifier' FROM o),
+e AS (SELECT DISTINCT 'PARTY_TO' AS kind, CAST(ent AS VARCHAR) AS a, CAST(claim AS VARCHAR) AS b, CAST(claim AS VARCHAR) AS c, 1.0 AS p FROM o UNION ALL SELECT DISTINCT 'PART_OF', CAST(claim AS VARCHAR), CAST(occ AS VARCHAR), CAST(claim AS VARCHAR), 1.0 FROM o
+  UNION ALL SELECT DISTINCT 'HAS_IDENTIFIER', CAST(ent AS VARCHAR), CAST(phone AS VARCHAR), CAST(claim AS VARCHAR), CASE WHEN valid THEN 0.95 ELSE 0.7 END FROM o WHERE owned UNION ALL SELECT DISTINCT 'OBSERVED_ON', CAST(phone AS VARCHAR), CAST(claim AS VARCHAR), CAST(claim AS VARCHAR), 0.6 FROM o WHERE NOT owned
+  UNION ALL SELECT DISTINCT ['', 'REPRESENTED_BY', 'TREATED_BY', 'REPAIRED_BY', 'ADJUSTED_BY'][role + 1], claimant, CAST(ent AS VARCHAR), CAST(claim AS VARCHAR), 0.6 FROM o JOIN first USING (claim) WHERE role > 0 AND CAST(ent AS VARCHAR) <> claimant)
+SELECT 'vertex' AS what, kind, count(*) AS n FROM v GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM e GROUP BY kind""",
+)
 def h21(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     docs = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), (F.col("o_custkey") % 100).cast("string").alias("claim_id"), (F.col("o_custkey") % 10).cast("string").alias("occurrence_id"))

@@ -205,12 +205,12 @@ def h14(spark, sf_dir):
     return p.select("id_l", "id_r", linkage.cannot_link().alias("reason")).where("reason is not null")
 
 
-@query("h20_lineage", f"""{J_SQL}, g AS (SELECT id_l, id_r, {GAMMA_SQL} FROM j WHERE id_l % 10 = id_r % 10),
+@query("h20_lineage", f"""{J_SQL}, g AS (SELECT id_l, id_r, {GAMMA_SQL} FROM j),
 c AS (SELECT id_l, id_r, 0 AS step, 'prior' AS comparison, -1 AS level, CAST({math.log2(fixed_model().prior / (1 - fixed_model().prior))!r} AS DOUBLE) AS bits FROM g
  {' '.join(f"UNION ALL SELECT id_l, id_r, {i}, '{c}', g_{c}, CAST({weight_sql(c, fixed_model())} AS DOUBLE) FROM g" for i, c in enumerate(FIXED, 1))})
 SELECT id_l, id_r, step, comparison, level, round(bits, 6) AS bits, round(1 / (1 + pow(2.0, -sum(bits) OVER (PARTITION BY id_l, id_r ORDER BY step))), 6) AS running_probability FROM c""")
 def h20(spark, sf_dir):
-    levels = fixed_levels(spark, sf_dir).where("id_l % 10 = id_r % 10")
+    levels = fixed_levels(spark, sf_dir)
     c = linkage.contributions(levels, fixed_model())
     return c.select("id_l", "id_r", "step", "comparison", "level", F.round("bits", 6).alias("bits"), F.round("running_probability", 6).alias("running_probability"))
 
@@ -239,7 +239,13 @@ def h02(spark, sf_dir):
     return components.threshold_sweep(e, f.select("mention_id"), [0.3, 0.6, 0.9])
 
 
-@query("h19_entities")
+@query(
+    "h19_entities",
+    f"""{EDGE_SQL}, c AS (SELECT node, min(root) AS component FROM r GROUP BY node), o AS (SELECT component, node, full_name, md5(CAST(node AS VARCHAR)) AS m FROM c JOIN f ON mention_id = node),
+i AS (SELECT component, 'E' || left(sha1(concat_ws(':', bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)), bit_xor(CAST('0x' || substr(m, 16, 15) AS BIGINT)), count(*), min(node))), 12) AS entity_id, count(*) AS n_mentions FROM o GROUP BY component),
+n AS (SELECT component, full_name FROM (SELECT component, full_name, count(*) AS k, min(node) AS pos FROM o GROUP BY component, full_name) QUALIFY row_number() OVER (PARTITION BY component ORDER BY k DESC, pos) = 1)
+SELECT entity_id, full_name AS canonical_name, 'claimant' AS entity_class, n_mentions FROM i JOIN n USING (component)""",
+)
 def h19(spark, sf_dir):
     f = frame(spark, sf_dir)
     c = components.connected_components(linkage.block(f, (("email",), ("npi",))).select("id_l", "id_r"), f.select("mention_id"))

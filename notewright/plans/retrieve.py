@@ -89,12 +89,12 @@ def jd2(spark, sf_dir):
     return retrieve.bm25(table(spark, sf_dir, "documents"), ["the", "stupid", "token"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("jd2_rank_fusion", """WITH l AS (SELECT 'price' AS lane, o_orderkey AS doc_id, o_totalprice AS s FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'cust', o_orderkey, CAST(o_custkey AS DOUBLE) FROM orders WHERE o_orderkey % 15 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY s DESC, doc_id) AS rank FROM l)
+@query("jd2_rank_fusion", """WITH l AS (SELECT 'price' AS lane, o_orderkey AS doc_id, o_totalprice AS s FROM orders UNION ALL SELECT 'cust', o_orderkey, CAST(o_custkey AS DOUBLE) FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY s DESC, doc_id) AS rank FROM l)
 SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(lane, '+' ORDER BY lane) AS lanes FROM r GROUP BY doc_id""")
 def jd2_fuse(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    a = o.where("o_orderkey % 10 = 0").select(F.lit("price").alias("lane"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
-    b = o.where("o_orderkey % 15 = 0").select(F.lit("cust").alias("lane"), F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("double").alias("score"))
+    a = o.select(F.lit("price").alias("lane"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    b = o.select(F.lit("cust").alias("lane"), F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("double").alias("score"))
     return retrieve.fuse(a.union(b)).select("doc_id", F.round("score", 9).alias("score"), "lanes")
 
 

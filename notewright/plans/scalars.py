@@ -71,13 +71,14 @@ def b03(spark, sf_dir):
 @query(
     "b04_jaro_winkler",
     """WITH w AS (SELECT doc_id, source, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS a FROM documents),
-p AS (SELECT x.doc_id AS id_a, y.doc_id AS id_b, x.a AS a, y.a AS b FROM w x JOIN w y ON x.source = y.source AND x.doc_id < y.doc_id AND x.doc_id % 5 = 0)
+p AS (SELECT x.doc_id AS id_a, y.doc_id AS id_b, x.a AS a, y.a AS b FROM w x JOIN w y ON y.doc_id - x.doc_id BETWEEN 1 AND 10)
 SELECT id_a, id_b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM p WHERE length(a) > 0 AND length(b) > 0""",
 )
 def b04(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("a")).where("a <> ''")
-    x, y = w.where("doc_id % 5 = 0").toDF("id_a", "source", "a"), w.toDF("id_b", "source", "b")
-    pairs = x.join(y, "source").where("id_a < id_b")
+    # Each document with the ten after it.
+    x = w.select(F.col("doc_id").alias("id_a"), "a").withColumn("id_b", F.explode(F.sequence(F.col("id_a") + 1, F.col("id_a") + 10)))
+    pairs = x.join(w.select(F.col("doc_id").alias("id_b"), F.col("a").alias("b")), "id_b")
     return pairs.select("id_a", "id_b", F.round(names.jaro_winkler("duckdb")("a", "b"), 6).alias("similarity"))
 
 
@@ -88,7 +89,17 @@ def b05(spark, sf_dir):
     return a.select("doc_id", F.round(names.token_set_jw(F.col("name"), turned), 6).alias("similarity"))
 
 
-@query("b06_soundex_key")
+SOUND_SQL = "translate(l, 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202')"
+COLLAPSED_SQL = f"left({SOUND_SQL}, 1) || replace(substr({SOUND_SQL}, 2), '7', '')"
+for _digit in "0123456":
+    COLLAPSED_SQL = f"regexp_replace({COLLAPSED_SQL}, '{_digit}+', '{_digit}', 'g')"
+
+
+@query(
+    "b06_soundex_key",
+    f"""SELECT doc_id, CASE WHEN l = '' THEN '0000' ELSE upper(left(l, 1)) || left(rpad(replace(substr({COLLAPSED_SQL}, 2), '0', ''), 3, '0'), 3) END AS key
+FROM (SELECT doc_id, regexp_replace({plain_sql('name')}, '[^a-z]', '', 'g') AS l FROM {SQL_NAMED})""",
+)
 def b06(spark, sf_dir):
     return named(spark, sf_dir).select("doc_id", names.soundex_key(F.col("name")).alias("key"))
 
@@ -137,7 +148,11 @@ def b10(spark, sf_dir):
     return addressed(spark, sf_dir).select("c_custkey", contact.address_key(F.col("address")).alias("key"))
 
 
-@query("b11_address_parts")
+@query(
+    "b11_address_parts",
+    f"""SELECT c_custkey, array_to_string(t[:len(t) - 3], ' ') AS street, 'springfield' AS city, 'il' AS state, t[len(t)] AS zip
+FROM (SELECT c_custkey, list_transform(string_split(trim(regexp_replace(regexp_replace(lower(address), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: coalesce({STREET_MAP}[t], t)) AS t FROM {SQL_ADDRESSED})""",
+)
 def b11(spark, sf_dir):
     return addressed(spark, sf_dir).select("c_custkey", contact.address_parts("address").alias("p")).select("c_custkey", "p.*")
 
