@@ -174,7 +174,8 @@ def test_annotation_log(spark):
 
 def test_answers_are_rescued():
     assert drafts.rescue('{"a": 1,}')[0] == {"a": 1} and drafts.rescue("{“a”: 1}")[0] == {"a": 1} and drafts.rescue("{'a': None}")[0] == {"a": None} and drafts.rescue("nothing")[0] is None
-    found, broken = drafts.objects('x {"a": "}"} y\n{"b": {"c": 1}} {"d":')
+    found, broken, left = drafts.objects('x {"a": "}"} y\n{"b": {"c": 1}} {"d":')
+    assert left == [(1, "x  y")]
     assert found == [(1, '{"a": "}"}'), (2, '{"b": {"c": 1}}')] and broken
     assert drafts.locate("He said “the  end”", '"the end"')[:3] == ("normalized", 8, 18) and drafts.locate("the he", "he")[1:3] == (4, 6)
     assert drafts.locate("a b a b", "a")[0] == "ambiguous" and drafts.locate("a b a b", "a", occurrence=2)[1] == 4 and drafts.locate("a b x a b", "a", before="x")[1] == 6
