@@ -11,9 +11,9 @@ for ranges of the hash only: 4,096 ranges first; the search is run once with ran
 divisible (a lower bound of the capacity) and once as atomic (an upper bound). While the bounds
 differ, the ranges in which a cut can fall are split in 64 by one small aggregation over the
 groups. When they agree, the capacity is the exact optimum. The number of ranges held depends on
-the number of shards alone. No shard exceeds the capacity; below it, each is cut as near to an
-even share of what is left as the ranges' edges allow: cut at the capacity itself, all shards but the
-last are full and the last holds what is left, which may be little.
+the number of shards alone. Groups are cut at that capacity, so that each shard but the last is as full as
+it allows; where the last would be left with less than the smallest of cuts as near to even shares as the
+ranges' edges and the capacity allow, these are taken instead. No shard exceeds the capacity either way.
 
 Null and empty texts are one group of empty text; rows that repeat stay rows of their own. Two
 different texts whose hashes agree would share a group, which keeps the law intact.
@@ -164,7 +164,8 @@ def minimax(groups: DataFrame, shards: int) -> tuple[list[int], list[int], int]:
         gone = set(widest)
         spans = [s for s in spans if s not in gone] + parts
     starts = []
-    for cut in walk.even_cuts(high, n):
+    least = lambda cuts: min(b - a for a, b in zip([0, *cuts], [*cuts, walk.total], strict=True))
+    for cut in max(walk.cuts(high, n, True)[0], walk.even_cuts(high, n), key=least):
         i = bisect_right(walk.ends, cut)
         if cut < walk.total:
             starts.append(walk.spans[i].low)
