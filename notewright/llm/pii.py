@@ -81,12 +81,9 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
 Span = tuple[str, int, int]
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def lowered(text: str) -> str:
     """A-Z in lower case, nothing else, so offsets stay."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()  # bytes.lower() changes A-Z alone
 
 
 def _automaton() -> ahocorasick.Automaton:
