@@ -271,7 +271,8 @@ def estimate_u(frame: DataFrame, most_pairs: int = 2_000_000, seed: int = 7) ->
         own = frame.withColumn("__h", by).where(F.col("__h") < F.lit(min(bound, 2**63 - 1))).orderBy("__h", "mention_id").limit(drawn).drop("__h")
     own = materialize(own, "u-sample")
     ids = own.select("mention_id")
-    pairs = ids.toDF("id_l").join(F.broadcast(ids.toDF("id_r")), F.col("id_l") < F.col("id_r"))  # drawn rows at most
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the sample is one file, its pairs are many
+    pairs = ids.toDF("id_l").repartition(parts).join(F.broadcast(ids.toDF("id_r")), F.col("id_l") < F.col("id_r"))  # drawn rows at most
     return _frequencies(gammas(paired(pairs, own)))
 
 
