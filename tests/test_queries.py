@@ -53,3 +53,19 @@ def test_without_the_training_data_package():
     code = "import sys\nfor n in ('corpus_pipeline', 'notewright.llm'): sys.modules[n] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(entry.__file__).parent), timeout=120)
     assert got.stdout.split()[1] == "False" and int(got.stdout.split()[0]) > 100, got.stderr
+
+
+def test_first_label_of_equal_seq(spark, tmp_path):
+    """Of lines with one order key and number the first in the table names the vertex, unless it has no label."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lines = [(1, "N"), (1, "A"), (1, "R"), (2, "R"), (2, "A"), (3, None), (3, "N"), (3, "A"), (4, None)]
+    columns = {"l_orderkey": [7] * 9, "l_partkey": [p for p, _ in lines], "l_suppkey": list(range(9)), "l_linenumber": pa.array([1] * 9, pa.int32()), "l_returnflag": pa.array([f for _, f in lines])}
+    pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(SQL["h22_upsert_vertices"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["h22_upsert_vertices"](spark, str(tmp_path)).select("id", "label", "claims", "docs").collect()]
+    assert sorted(got) == sorted(want) and dict(r[:2] for r in got) == {"p1": "N", "p2": "R", "p3": "N", "p4": None}
