@@ -132,3 +132,44 @@ def test_copies_of_an_article_stay(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == "\n\n".join(article) for i in range(3)) and all(got[100 + i] == article[0] for i in range(3))
     assert "welcome" not in got[7] and "copyright" not in got[7] and got[7].startswith("700c")
+
+
+def test_marked_pages_are_in_their_hosts_array(spark):
+    """Thirty marked pages show what is their host's frame, so it goes from two pages without a mark too; a line that their articles share stays and is counted."""
+    frame, line = "welcome to our great site please enjoy the many pages here", "this text may be copied under the terms of its license"
+    own = lambda i: " ".join(f"p{i}x{k}" for k in range(20))
+    pages = [(i, "http://h.com/", f"<div>{frame}</div><article><p>{own(i)}</p>{f'<p>{line}</p>' * (i < 10)}</article>") for i in range(30)]
+    pages += [(i, "http://h.com/", f"<div>{frame}</div><p>{own(i)}</p>") for i in (30, 31)]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in htmltext.report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: (f"{own(i)}\n\n{line}", 1) if i < 10 else (own(i), 0) for i in range(32)}
+
+
+def test_shared_runs_do_not_depend_on_how_pages_are_dealt(spark):
+    """Over arrays of one page or of all, with proposed runs as lists or by a shuffle, a host's shared runs are those of a plain count."""
+    r = random.Random(5)
+    phrases = [" ".join(f"q{p}w{k}" for k in range(r.randint(8, 12))) for p in range(30)]
+    pages = []
+    for i in range(150):
+        host = "big" if i < 100 else "mid" if i < 130 else f"one{i}" if i < 145 else "five"
+        some = [phrases[int(30 * r.random() ** 3)] for _ in range(4)]
+        body = f"<div>{some[0]}</div>" + ("<article>" if i % 3 else "") + f"<p>own{i} {some[1]}</p><p>{some[2]}</p>" + (f"<div class='market-share'>{some[3]}</div>" if i % 5 == 0 else "")
+        pages.append((i, f"http://{host}.com/{i}", body))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = {}
+    hosts = {}
+    for _, url, html in pages:
+        page = htmltext.Page(html)
+        streams = [{tuple(t[k : k + 8]) for k in range(len(t) - 7)} for t in (" ".join(b.text for b in blocks).split(" ") for blocks in (page.blocks, page.frame))]
+        hosts.setdefault(url.split("/")[2], []).append((*streams, not page.marked or any(b.doubt for b in page.blocks)))
+    for host, own in hosts.items():
+        opened = sum(o for _, _, o in own)
+        least, least_open = (max(3, -(-n // 10)) for n in (len(own), opened))
+        for run in set().union(*(a | b for a, b, _ in own)):
+            held, held_open, frames = sum(run in a or run in b for a, b, _ in own), sum(run in a and o for a, _, o in own), sum(run in b for _, b, _ in own)
+            n = htmltext.FRAME if frames >= 3 and 2 * frames > len(own) else held_open if held_open >= least_open else 0
+            if n or held >= least:
+                want[host, int(htmltext.run_hashes([" ".join(run)])[0])] = (n, held if held >= least else 0)
+    parsed = htmltext.materialize(htmltext.parsed_pages(df), "html-parsed")
+    for size, listed in ((1, htmltext.LISTED), (1, 100), (2_000, 0), (htmltext.ARRAY, htmltext.LISTED)):
+        got = htmltext.common_runs(parsed, size, listed).collect()
+        assert {(g["host"], c["run"]): (c["n"], c["pages"]) for g in got for c in g["common"]} == want and len(want) > 50
