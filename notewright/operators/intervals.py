@@ -29,11 +29,12 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "doc_id", how: st
     if how == "inner":
         once = F.floor(F.greatest("start", "start_r") / STRETCH) == F.col("__s")
         return a.join(b, [key, "__s"]).where(meets & once).drop("__s")
-    # A span may meet in several stretches: rows are marked, so that repeated rows stay apart.
-    marked = left.withColumn("__row", F.monotonically_increasing_id())
-    a = marked.withColumn("__s", _stretches(F.col("start"), F.col("end")))
-    hit = a.join(b, [key, "__s"]).where(meets).select("__row").distinct()
-    return marked.join(hit, "__row", how).drop("__row")
+    # Whether a row meets depends on its key, start and end alone: by these, rows that repeat stay apart, and no number is given
+    # that another reading of left in another order would give to another row.
+    at = [key, "start", "end"]
+    spans = left.select(*at).distinct()
+    hit = spans.withColumn("__s", _stretches(F.col("start"), F.col("end"))).join(b, [key, "__s"]).where(meets).select(*at).distinct()
+    return left.join(hit, at, how).select(*left.columns)
 
 
 def contained_join(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFrame:
