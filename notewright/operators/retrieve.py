@@ -116,10 +116,10 @@ def verify_citations(citations: DataFrame, docs: DataFrame, evidence: DataFrame)
     """
     part = lambda i: F.regexp_extract("citation", CITATION, i)
     c = citations.select("citation_id", F.nullif(part(1), F.lit("")).alias("doc_id"), part(2).try_cast("long").alias("s"), part(3).try_cast("long").alias("e"))
-    known = c.join(docs.select("doc_id", "n_chars"), "doc_id", "left")
+    known = c.join(docs.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.lit(True).alias("__known")), "doc_id", "left")  # a document without characters is known, a repeated one is one
     inside = c.join(evidence.withColumnRenamed("start", "a").withColumnRenamed("end", "b"), "doc_id").where("a <= s and e <= b").select("citation_id").distinct().withColumn("__in", F.lit(True))
     j = known.join(inside, "citation_id", "left")
-    reason = F.when(F.col("doc_id").isNull(), "unparseable").when(F.coalesce("n_chars", F.lit(0)) == 0, "unknown doc_id").when(~((F.col("s") < F.col("e")) & (F.col("e") <= F.col("n_chars"))), "span out of bounds").when(F.col("__in").isNull(), "span outside retrieved evidence")
+    reason = F.when(F.col("doc_id").isNull(), "unparseable").when(F.col("__known").isNull(), "unknown doc_id").when(~((F.col("s") < F.col("e")) & (F.col("e") <= F.col("n_chars"))), "span out of bounds").when(F.col("__in").isNull(), "span outside retrieved evidence")
     return j.select("citation_id", reason.alias("reason"))
 
 

@@ -70,7 +70,7 @@ def j03(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
     k = F.col("doc_id") % 5
-    cite = F.when(k == 0, F.concat(name, F.lit(":0-20"))).when(k == 1, F.concat(F.lit("["), name, F.lit(": 5 - 900000]"))).when(k == 2, "see note").when(k == 3, "X9:0-5").otherwise(F.concat(name, F.lit(":60-70")))
+    cite = F.when(k == 0, F.concat(name, F.lit(":0-20"))).when(k == 1, F.concat(F.lit("["), name, F.lit(": 5 - "), F.greatest(F.lit(900000), F.length("text") + 1), F.lit("]"))).when(k == 2, "see note").when(k == 3, "X9:0-5").otherwise(F.concat(name, F.lit(":60-70")))
     docs = d.select(name.alias("doc_id"), F.length("text").alias("n_chars"))
     return retrieve.verify_citations(d.select(F.col("doc_id").alias("citation_id"), cite.alias("citation")), docs, docs.select("doc_id", F.lit(0).alias("start"), F.lit(50).alias("end")))
 
