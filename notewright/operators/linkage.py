@@ -165,6 +165,44 @@ def _within(one: DataFrame, other: DataFrame, rule: list[str], earlier: list[tup
     return pairs.drop(*[c for c in pairs.columns if c.startswith("__")])
 
 
+#: Rules whose subsets are counted; of more, pairs are made to be counted.
+COUNTED_RULES = 12
+
+
+def rule_counts(frame: DataFrame, rules: tuple[tuple[str, ...], ...] = BLOCKING) -> DataFrame:
+    """match_key and n, how many pairs of block() are credited to each rule that has any, without making a pair.
+
+    For each set of rules the mentions that agree on all of it are counted (values by 128 bits); the pairs that a rule proposes and
+    none before it are those counts by inclusion and exclusion. Work is in proportion to mentions, for given rules.
+    """
+    used = [i for i, rule in enumerate(rules) if all(c in frame.columns for c in rule)]
+    if not used:
+        raise ValueError("the frame has the columns of no blocking rule")
+    frame = materialize(frame, "counts-frame")
+    mentions, plain = _digests_tell(frame, [rules[i] for i in used])
+    if len(used) > COUNTED_RULES or not plain:
+        return block(frame, rules).groupBy("match_key").agg(F.count("*").alias("n"))
+    digests = [_digest(rules[i], s + 2 * i).alias(f"d{s}_{at}") for at, i in enumerate(used) for s in (0, 1)]
+    own = frame.where("mention_id is not null").select(*digests).repartition(1 + mentions // TASK_MENTIONS)  # few bytes, many sets
+    held = "|".join(f"if(d0_{at} is null, 0, {1 << at})" for at in range(len(used)))
+    sets = own.withColumn("held", F.expr(held)).withColumn("rules", F.explode(F.sequence(F.lit(1), F.lit((1 << len(used)) - 1)))).where("rules & held = rules")
+    both_ = ["^".join(f"if(rules & {1 << at} = 0, 0, d{s}_{at})" for at in range(len(used))) for s in (0, 1)]
+    agree = sets.select("rules", *[F.expr(e).alias(n) for e, n in zip(both_, "ab", strict=True)]).groupBy("rules", "a", "b").agg(F.count("*").alias("k")).where("k > 1")
+    signed = F.when(F.bit_count("rules") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)) * F.expr("k * (k - 1) div 2")
+    last = F.get(F.array(*[F.lit(i) for i in used]), F.length(F.bin("rules")) - 1)
+    return agree.groupBy(last.alias("match_key")).agg(F.sum(signed).alias("n")).where("n > 0")
+
+
+def links(frame: DataFrame, rules: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """id_l < id_r: each mention with the least one of its value, for each rule: fewer than block()'s pairs, no more than mentions a rule, with the same components."""
+    found = None
+    for rule in rules:
+        own = frame.where(reduce(and_, [F.col(c).isNotNull() for c in rule])).select("mention_id", *rule)
+        tied = own.join(own.groupBy(*rule).agg(F.min("mention_id").alias("id_l")), list(rule)).where("id_l < mention_id").select("id_l", F.col("mention_id").alias("id_r"))
+        found = tied if found is None else found.union(tied)
+    return found
+
+
 def paired(pairs: DataFrame, frame: DataFrame) -> DataFrame:
     """Pairs with the columns of both mentions, as name_l and name_r."""
     side = lambda s: frame.select(*[F.col(c).alias(f"id_{s}" if c == "mention_id" else f"{c}_{s}") for c in frame.columns])
@@ -307,7 +345,7 @@ def contributions(levels: DataFrame, model: Model) -> DataFrame:
 
 def estimate_prior(frame: DataFrame, rules: tuple = PRIOR_RULES, recall: float = PRIOR_RECALL) -> DataFrame:
     """H5: n_mentions, n_caught, prior: pairs that a rule of high precision catches, over recall, over all pairs."""
-    caught = block(frame, rules).agg(F.count("*").alias("n_caught"))
+    caught = rule_counts(frame, rules).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_caught"))
     n = frame.agg(F.count("*").alias("n_mentions"))
     both_ = n.crossJoin(caught)  # one row each
     pairs = F.col("n_mentions") * (F.col("n_mentions") - 1) / 2

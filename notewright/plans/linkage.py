@@ -80,7 +80,7 @@ def d02(spark, sf_dir):
 
 @query("e03_rule_counts", f"WITH f AS {FRAME_SQL} SELECT match_key, count(*) AS n FROM ({BLOCK_SQL}) GROUP BY match_key")
 def e03(spark, sf_dir):
-    return linkage.block(frame(spark, sf_dir)).groupBy("match_key").agg(F.count("*").alias("n"))
+    return linkage.rule_counts(frame(spark, sf_dir))
 
 
 @query(
@@ -220,7 +220,7 @@ EDGE_SQL = f"WITH RECURSIVE f AS {FRAME_SQL}, e AS ({block_sql((('email',), ('np
 @query("h01_components", f"{EDGE_SQL} SELECT node, min(root) AS component FROM r GROUP BY node")
 def h01(spark, sf_dir):
     f = frame(spark, sf_dir)
-    return components.connected_components(linkage.block(f, (("email",), ("npi",))).select("id_l", "id_r"), f.select("mention_id"))
+    return components.connected_components(linkage.links(f, (("email",), ("npi",))), f.select("mention_id"))
 
 
 def sweep_sql(thresholds) -> str:
@@ -246,7 +246,7 @@ SELECT entity_id, full_name AS canonical_name, 'claimant' AS entity_class, n_men
 )
 def h19(spark, sf_dir):
     f = frame(spark, sf_dir)
-    c = components.connected_components(linkage.block(f, (("email",), ("npi",))).select("id_l", "id_r"), f.select("mention_id"))
+    c = components.connected_components(linkage.links(f, (("email",), ("npi",))), f.select("mention_id"))
     mentions = f.select("mention_id", F.col("full_name").alias("surface"), F.lit("claimant").alias("entity_class"), F.col("mention_id").alias("position"))
     return linkage.materialise(c, mentions)
 
