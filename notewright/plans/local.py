@@ -73,7 +73,7 @@ def j02(spark, sf_dir):
 def j04(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     i = c.select(F.col("c_custkey").alias("entity_id"), F.lit("has_phone").alias("field"), (F.col("c_custkey") % 400).cast("string").alias("value"))
-    return retrieve.enrich(i, graph.shared_attributes(i), 2).select("entity_id", "other")
+    return retrieve.enrich(i, graph.shared_attributes(i, nearest=2), 2).select("entity_id", "other")
 
 
 @query("e13_event_recall", "SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS hits, count(*) FILTER (value > 50) / count(*) AS recall FROM events GROUP BY event_type")
