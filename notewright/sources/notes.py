@@ -112,15 +112,19 @@ def bind_surfaces(relations: DataFrame, mentions: DataFrame, gap: int = 12) -> D
     relations: rel, t. mentions: mention, s. Containment has no equi-key of its own; a shared
     trigram is one, as every string of three characters or more within another shares them all.
     """
+    # Each text is met once, with its least mention, however many mentions or relations have it.
+    mentions = mentions.where("s is not null").groupBy("s").agg(F.min("mention").alias("mention"))
     exact = relations.join(mentions, F.col("t") == F.col("s")).groupBy("rel").agg(F.min("mention").alias("mention")).withColumn("how", F.lit("exact"))
-    rest = relations.join(exact, "rel", "left_anti")
+    rest = relations.join(exact, "rel", "left_anti").where("t is not null")
+    texts = rest.select("t").distinct()
     # The rarest trigram of the shorter string isn't known before the join; its first one is in the longer string too.
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     head = lambda c: F.substring(c, 1, 3)
     near = (F.col("t") != F.col("s")) & (F.abs(F.length("t") - F.length("s")) <= gap) & (F.col("s").contains(F.col("t")) | F.col("t").contains(F.col("s")))
-    inside = rest.withColumn("g", head(F.col("t"))).join(mentions.withColumn("g", F.explode(grams(F.col("s")))), "g").where(near)
-    around = rest.withColumn("g", F.explode(grams(F.col("t")))).join(mentions.withColumn("g", head(F.col("s"))), "g").where(near)
-    partial = inside.select("rel", "mention").union(around.select("rel", "mention")).groupBy("rel").agg(F.min("mention").alias("mention")).withColumn("how", F.lit("partial"))
+    inside = texts.withColumn("g", head(F.col("t"))).join(mentions.withColumn("g", F.explode(grams(F.col("s")))), "g").where(near)
+    around = texts.withColumn("g", F.explode(grams(F.col("t")))).join(mentions.withColumn("g", head(F.col("s"))), "g").where(near)
+    least = inside.select("t", "mention").union(around.select("t", "mention")).groupBy("t").agg(F.min("mention").alias("mention"))
+    partial = rest.join(least, "t").groupBy("rel").agg(F.min("mention").alias("mention")).withColumn("how", F.lit("partial"))
     return exact.unionByName(partial)
 
 
