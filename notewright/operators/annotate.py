@@ -57,7 +57,8 @@ def violations(records: DataFrame, entities: DataFrame, fields: tuple[str, ...])
 
 def identical(records: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """K3: candidates (candidate_id and the columns on) with the uid of a current record that agrees in all, nulls included."""
-    r = records.select("uid", *[F.col(c).alias(f"{c}_r") for c in on])
+    # One row for equal records: candidates meet each at most once, however many agree.
+    r = records.groupBy(*[F.col(c).alias(f"{c}_r") for c in on]).agg(F.min("uid").alias("uid"))
     same = F.lit(True)
     for c in on:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
